@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .neardup import op6_near_duplicates
+from .quality import op1_quality
+from .toxicity import op3_toxicity
 
-QUERIES = {"op6_near_duplicates": op6_near_duplicates}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_toxicity": op3_toxicity,
+    "op6_near_duplicates": op6_near_duplicates,
+}
 ORACLES: dict[str, str] = {}
