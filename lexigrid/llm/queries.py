@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .linechunks import op5_line_chunks
 from .neardup import op6_near_duplicates
 from .quality import op1_quality
 from .toxicity import op3_toxicity
@@ -9,6 +10,7 @@ from .toxicity import op3_toxicity
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
+    "op5_line_chunks": op5_line_chunks,
     "op6_near_duplicates": op6_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
