@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from .curriculum import op4_curriculum
 from .linechunks import op5_line_chunks
 from .neardup import op6_near_duplicates
 from .quality import op1_quality
+from .sql import OP4
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_curriculum": op4_curriculum,
     "op5_line_chunks": op5_line_chunks,
     "op6_near_duplicates": op6_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_curriculum": OP4}
