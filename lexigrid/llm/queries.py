@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .curriculum import op4_curriculum
+from .curvepack import op2_curve_packing
 from .linechunks import op5_line_chunks
 from .neardup import op6_near_duplicates
 from .quality import op1_quality
@@ -11,6 +12,7 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_curve_packing": op2_curve_packing,
     "op3_toxicity": op3_toxicity,
     "op4_curriculum": op4_curriculum,
     "op5_line_chunks": op5_line_chunks,

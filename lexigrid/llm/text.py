@@ -19,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
+#: Bytes of white-space separated tokens.
+SOLID = ~np.isin(np.arange(256), [9, 10, 13, 32])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -67,9 +69,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield lo, len(size)
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and the row it is in."""
-    inside = _WORD[raw]
+def spans(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word (maximal run of bytes of `kind`), and the row it is in."""
+    inside = kind[raw]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     edges = offsets[1:-1]
