@@ -8,6 +8,7 @@ from .linechunks import op5_line_chunks
 from .neardup import op6_near_duplicates
 from .quality import op1_quality
 from .sql import OP4
+from .tokenbin import op7_token_ids
 from .toxicity import op3_toxicity
 
 QUERIES = {
@@ -17,5 +18,6 @@ QUERIES = {
     "op4_curriculum": op4_curriculum,
     "op5_line_chunks": op5_line_chunks,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_token_ids": op7_token_ids,
 }
 ORACLES = {"op4_curriculum": OP4}
