@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .curriculum import op4_curriculum
 from .curvepack import op2_curve_packing
+from .licenses import op8_licenses
 from .linechunks import op5_line_chunks
 from .neardup import op6_near_duplicates
 from .quality import op1_quality
@@ -19,5 +20,6 @@ QUERIES = {
     "op5_line_chunks": op5_line_chunks,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_ids": op7_token_ids,
+    "op8_licenses": op8_licenses,
 }
 ORACLES = {"op4_curriculum": OP4}
