@@ -6,6 +6,7 @@ from .curriculum import op4_curriculum
 from .curvepack import op2_curve_packing
 from .licenses import op8_licenses
 from .linechunks import op5_line_chunks
+from .media import op10_media
 from .neardup import op6_near_duplicates
 from .quality import op1_quality
 from .sql import OP4
@@ -21,5 +22,6 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_ids": op7_token_ids,
     "op8_licenses": op8_licenses,
+    "op10_media": op10_media,
 }
 ORACLES = {"op4_curriculum": OP4}
