@@ -26,6 +26,8 @@ REGISTERS, ROWS, SHINGLE = 128, 4, 3
 THRESHOLD = 0.5
 #: A pair is verified unless its signatures agree in less than this share, about four standard errors below THRESHOLD.
 ESTIMATE = 0.33
+#: Share, about four standard errors above THRESHOLD, from which a pair counts as joined before it is verified.
+CERTAIN = 0.67
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -144,17 +146,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in a share of at least ESTIMATE."""
+    """Pairs (a, b) whose signatures agree in a share, `share`, of at least ESTIMATE."""
     left, right = signed.toDF("a", "sa"), signed.toDF("b", "sb")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.mapInArrow(_agree, "a long, b long")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.mapInArrow(_agree, "a long, b long, share double")
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sa, sb = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-        good = pa.array((sa == sb).mean(axis=1) >= ESTIMATE)
-        yield batch.select(["a", "b"]).filter(good)
+        share = (sa == sb).mean(axis=1)
+        pairs = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")]
+        yield pa.record_batch([*pairs, pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= ESTIMATE))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,7 +165,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ends = pairs.select("a", "b", F.col("b").alias("node"), F.lit(False).alias("own"))
     leads = pairs.select(F.col("a")).distinct().select("a", F.col("a").alias("b"), F.col("a").alias("node"), F.lit(True).alias("own"))
     ends = ends.union(leads)
-    needed = texts.join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # Both sides grow with the corpus, so that neither is broadcast at any size.
+    needed = texts.join(ends.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     rows = ends.join(needed, "node").select("a", "b", "text", "own")
     rows = rows.repartition("a").sortWithinPartitions("a", F.col("own").desc(), "b")
     return rows.mapInArrow(_verify, "a long, b long, similarity double")
@@ -171,32 +175,27 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified pairs (a, b) of nodes that join the near-duplicate groups.
 
-    Round one compares every member of a bucket with the bucket's least node. Members that this leaves in different
-    groups are compared in round two, each with each; so every pair that shares a bucket is either verified or already
-    joined by verified pairs.
+    Step one compares the signature of every member of a bucket with that of the bucket's least node. Step two compares
+    members with each other that this leaves in different groups, where only a share of CERTAIN joins. So every pair
+    that shares a bucket is either compared or already joined. All pairs of at least ESTIMATE are then verified by their
+    texts, in one pass over these.
     """
     signed = stage(signatures(docs), "signatures")
     texts = docs.where(F.col("text").isNotNull()).select(node_of(F.col("text")).alias("node"), "text")
     keyed = bands(signed).repartition("band")
-    leads = keyed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select("band", "a")
-    star = keyed.join(leads, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = stage(_checked(star, signed, texts), "links")
-    good = first.where(F.col("similarity") >= threshold).select("a", "b")
-    label = components(good)
-    crowd = keyed.join(leads.select("band"), "band", "left_semi")
-    group = F.coalesce("label", "node")
-    crowd = stage(crowd.join(label, "node", "left").select("band", "node", group.alias("label")), "crowd")
+    size = keyed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select("band", "a")
+    crowd = stage(keyed.join(size.hint("merge"), "band"), "crowd")
+    star = crowd.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    first = stage(likely(star, signed), "likely")
+    label = components(first.where(F.col("share") >= CERTAIN).select("a", "b"))
+    crowd = crowd.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")).repartition("band")
     split = crowd.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     crowd = crowd.join(split, "band")
     pairs = crowd.join(crowd.toDF("band", "other", "their"), "band").where("node < other and label <> their")
-    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stage(_checked(pairs.join(done, ["a", "b"], "left_anti"), signed, texts), "links")
-    return good.union(second.where(F.col("similarity") >= threshold).select("a", "b"))
-
-
-def _checked(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    return verified(stage(likely(pairs, signed), "likely"), texts)
+    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    both = stage(first.union(likely(pairs, signed)), "likely")
+    good = stage(verified(both.select("a", "b"), texts), "links")
+    return good.where(F.col("similarity") >= threshold).select("a", "b")
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
