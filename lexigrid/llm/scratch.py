@@ -14,7 +14,10 @@ def folder(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    raw = jvm.org.apache.hadoop.fs.Path(path)
+    full = raw.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(raw).toString()
+    return ("file://" + full[len("file:") :] if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:
