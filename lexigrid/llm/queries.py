@@ -8,6 +8,7 @@ from .licenses import op8_licenses
 from .linechunks import op5_line_chunks
 from .media import op10_media
 from .neardup import op6_near_duplicates
+from .prefixhash import op9_fingerprints
 from .quality import op1_quality
 from .sql import OP4
 from .tokenbin import op7_token_ids
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_token_ids": op7_token_ids,
     "op8_licenses": op8_licenses,
+    "op9_fingerprints": op9_fingerprints,
     "op10_media": op10_media,
 }
 ORACLES = {"op4_curriculum": OP4}
