@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .curriculum import op4_curriculum
 from .curvepack import op2_curve_packing
 from .licenses import op8_licenses
@@ -25,5 +27,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
     "op10_media": op10_media,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op4_curriculum": OP4}
+ORACLES = {"op4_curriculum": OP4} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
