@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scratch import stage
+from .scratch import reachable, stage
 from .text import SOLID, U, Words, buffers, slices, spans
 
 DIMS, DEPTH = 4, 12
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     `length` tokens. Null and blank texts have nothing to pack and are left out; repeated rows are packed as often as they
     occur. Columns beside doc_id and text aren't looked at.
     """
-    rows = docs.select("doc_id", "text", _curve("text").alias("at")).select("doc_id", "text", F.col("at.key").alias("key"), F.col("at.n").alias("n")).where("n > 0")
+    rows = reachable(docs).select("doc_id", "text", _curve("text").alias("at")).select("doc_id", "text", F.col("at.key").alias("key"), F.col("at.n").alias("n")).where("n > 0")
     order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = stage(ranged.mapInArrow(_running, "doc_id long, text string, key long, n long, part int, start long"), "curve")

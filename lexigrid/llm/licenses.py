@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import reachable
 from .text import U, Words, mix, slices
 
 GRAM, WINNOW = 3, 4
@@ -178,7 +179,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
                         names=["doc_id", "license", "coverage", "word_start", "word_end", "byte_start", "byte_end"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, license string, coverage double, word_start int, word_end int, byte_start long, byte_end long")
+    return reachable(docs).select("doc_id", "text").mapInArrow(scan, "doc_id long, license string, coverage double, word_start int, word_end int, byte_start long, byte_end long")
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import reachable, stage
 from .text import U, buffers, mix, slices, span_hashes
 
 #: Lines under the rolling hash, and the number of its values of which one ends a chunk.
@@ -107,7 +107,7 @@ def removed(texts: pa.Array, lists: pa.Array) -> pa.Array:
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, gone): rows is (row, id, doc, text), partitioned by id; gone is (id, doc, gone, chars) with the list of chunk indexes to remove from a row."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc"), "text").repartition("id")
+    rows = reachable(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc"), "text").repartition("id")
     spots = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc"), "text")
     spots = spots.mapInArrow(_spot, "id long, doc long, index int, hash long").repartition("hash")
     twice = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh, stage
+from .scratch import fresh, reachable, stage
 
 #: Bytes of a payload that are read for its metadata, and of a shard, about.
 HEADER_BYTES, SHARD_BYTES = 1024, 256 << 20
@@ -135,7 +135,7 @@ def stored(table: DataFrame, payload: str, key: str, folder: str) -> DataFrame:
     writes it, and all rows point to the first of these. Null payloads have no place; empty ones have.
     """
     content = F.col(f"`{payload}`").cast("binary")
-    rows = table.select(F.struct(*[F.col(f"`{c}`") for c in table.columns if c != payload]).alias("row"), content.alias("payload"), F.sha2(content, 256).alias("digest"), F.col(f"`{key}`").alias("key"))
+    rows = reachable(table).select(F.struct(*[F.col(f"`{c}`") for c in table.columns if c != payload]).alias("row"), content.alias("payload"), F.sha2(content, 256).alias("digest"), F.col(f"`{key}`").alias("key"))
     some = rows.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("owner")).where("n > 1").select(F.col("digest").alias("twice"), "owner")
     some = stage(some, "repeated")
     small = some.count() <= BROADCAST_ROWS

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
-from .scratch import stage
+from .scratch import reachable, stage
 from .text import U, Words, buffers, mix, slices
 
 REGISTERS, ROWS, SHINGLE = 128, 4, 3
@@ -110,7 +110,7 @@ def node_of(text: Column) -> Column:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(node, sig) of every distinct text that has a word."""
-    rows = docs.where(F.col("text").isNotNull()).select(node_of(F.col("text")).alias("node"), "text")
+    rows = reachable(docs).where(F.col("text").isNotNull()).select(node_of(F.col("text")).alias("node"), "text")
     signed = rows.mapInArrow(_sign, "node long, sig binary")
     return signed.groupBy("node").agg(F.first("sig").alias("sig"))
 

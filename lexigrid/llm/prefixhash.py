@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stage
+from .scratch import reachable, stage
 from .text import U, buffers, mix, slices
 
 PRIME, BASES = (1 << 31) - 1, (911_382_323, 972_663_749)
@@ -154,7 +154,7 @@ def fingerprints(docs: DataFrame, passages: DataFrame) -> DataFrame:
     A null or empty text has no fingerprint and is no copy. Repeated rows are copies of each other. Passages that are null or shorter than SEED
     match nothing. More passages than PASSAGE_BYTES are taken in several passes over `docs`.
     """
-    spark = docs.sparkSession
+    spark = reachable(docs).sparkSession
     items = passages.where(F.col("item_id").isNotNull() & (F.octet_length("text") >= SEED)).select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // PASSAGE_BYTES))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import labelled
+from .scratch import reachable
 from .text import U, Words, mix, slices, span_hashes
 
 BITS = 20
@@ -75,7 +76,7 @@ def ftrl(examples: list[np.ndarray], y: np.ndarray, bits: int = BITS, epochs: in
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
     """The model of a bounded sample of labelled documents. Without labels it is empty, and every document scores 0.5."""
-    known = labelled(docs, labels, "toxic", rows).select("doc_id", "label", "text").mapInArrow(_indices, "doc_id long, label double, index array<int>")
+    known = labelled(reachable(docs), labels, "toxic", rows).select("doc_id", "label", "text").mapInArrow(_indices, "doc_id long, label double, index array<int>")
     table = known.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "label", "index").limit(2 * rows).toArrow()
     flat = table.column("index").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
@@ -90,7 +91,7 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], cutoff:
     coordinates that aren't zero.
     """
     bias, index, weight = model
-    sent = docs.sparkSession.sparkContext.broadcast((bias, index.astype(np.int32), weight))
+    sent = reachable(docs).sparkSession.sparkContext.broadcast((bias, index.astype(np.int32), weight))
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
