@@ -138,6 +138,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return removed(texts, lists)
 
+    without = without.asNondeterministic()  # so that it is evaluated once, though a filter looks at its result
     rows, gone = repeated(docs)
     both = rows.join(gone, (F.col("id") == F.col("gone_id")) & F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
     whole = both.where(F.col("gone").isNull()).select("row", F.col("text").alias("clean"), F.lit(0).alias("gone"))

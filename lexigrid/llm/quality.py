@@ -185,7 +185,9 @@ def scored(docs: DataFrame, model: RuleModel, cutoff: float = CUTOFF) -> DataFra
     blank = F.trim(F.coalesce(F.col("row.text"), F.lit(""))) == ""
     rows = statistics(rows, F.col("row.text"))
     score = F.when(blank, F.lit(0.0)).otherwise(model.column())
-    return rows.select("row", score.alias("score")).select("row", "score", (F.col("score") >= cutoff).alias("keep"))
+    # A generator keeps a later filter on the score from being moved below it, with all statistics once more for each rule.
+    rows = rows.select("row", F.explode(F.array(score)).alias("score"))
+    return rows.select("row", "score", (F.col("score") >= cutoff).alias("keep"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
