@@ -7,7 +7,6 @@ candidate, which is aligned with the template within a band around them.
 
 from __future__ import annotations
 
-from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +114,7 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -
                 n, start = best[k]
                 here = max(here, (n + 1, start if n else j))
             row[k] = here
-            if here > top:
+            if here[0] > top[0]:
                 top, end = here, j + 1
         row[width] = row[width - 1]
         best = row
@@ -123,8 +122,8 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -
 
 
 def matches(texts: pa.Array, index: Index, coverage: float = COVERAGE) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(row, template, matched words, words from, to, bytes from, to) of the matches in a slice of texts; of overlapping
-    matches with a template the one that covers most, of overlapping ones of several templates all."""
+    """(row, template, matched words, words from, to, bytes from, to) of the matches in a slice of texts: for each template from
+    left to right, each beginning after the one before; matches of several templates may overlap."""
     words = Words(texts)
     at, value = grams(words)
     who, entry = index.hits(value)
@@ -132,30 +131,25 @@ def matches(texts: pa.Array, index: Index, coverage: float = COVERAGE) -> list[t
         return []
     place, row = at[who], words.row[at[who]]
     base = np.searchsorted(words.row, np.arange(words.rows + 1))
-    template, shift = index.template[entry], place - base[row] - index.place[entry]
-    order = np.lexsort((shift, template, row))
+    template, place = index.template[entry], place - base[row]
+    shift = place - index.place[entry]
+    order = np.lexsort((place, template, row))
     found: list[tuple] = []
-    last: tuple | None = None
-    for r, t, s in dict.fromkeys(zip(row[order].tolist(), template[order].tolist(), shift[order].tolist())):
-        if last and last[:2] == (r, t) and s - last[2] <= BAND // 2:
-            continue  # inside the band of the candidate before
-        last = (r, t, s)
+    now, over, tried = (-1, -1), 0, None
+    for r, t, p, s in zip(row[order].tolist(), template[order].tolist(), place[order].tolist(), shift[order].tolist()):
+        if (r, t) != now:
+            now, over, tried = (r, t), 0, None
+        if p < over or s == tried:
+            continue  # inside the match before, or on the diagonal of a candidate that failed
         want = index.words[t].hash
-        lo = max(0, s - BAND)
+        lo = max(over, s - BAND)
         doc = words.hash[base[r] + lo : min(base[r + 1], base[r] + s + len(want) + BAND)]
         n, first, end = align(doc, want, s - lo)
+        tried = s
         if n >= coverage * len(want):
-            first, end = first + lo, end + lo
-            found.append((r, t, n, first, end, int(words.start[base[r] + first] - words.offsets[r]), int(words.end[base[r] + end - 1] - words.offsets[r])))
-    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    out: list[tuple] = []
-    for m in sorted(found, key=lambda m: (m[0], m[1], -m[2], m[4] - m[3], m[3])):
-        spans = taken.setdefault(m[:2], [])  # apart and sorted, so that only two neighbours can overlap
-        k = bisect(spans, (m[3], m[4]))
-        if not (k and spans[k - 1][1] > m[3]) and not (k < len(spans) and spans[k][0] < m[4]):
-            spans.insert(k, (m[3], m[4]))
-            out.append(m)
-    return sorted(out, key=lambda m: (m[0], m[3], m[1]))
+            first, over, tried = first + lo, end + lo, None
+            found.append((r, t, n, first, over, int(words.start[base[r] + first] - words.offsets[r]), int(words.end[base[r] + over - 1] - words.offsets[r])))
+    return sorted(found, key=lambda m: (m[0], m[3], m[1]))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
