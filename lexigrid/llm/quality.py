@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> RuleModel:
 def scored(docs: DataFrame, model: RuleModel, cutoff: float = CUTOFF) -> DataFrame:
     """(row, score, keep): the struct `row` has all columns of `docs`. A null or blank text scores 0 and isn't kept; repeated rows score alike."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    blank = F.trim(F.coalesce(F.col("row.text"), F.lit(""))) == ""
+    blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\S")
     rows = statistics(rows, F.col("row.text"))
     score = F.when(blank, F.lit(0.0)).otherwise(model.column())
     # A generator keeps a later filter on the score from being moved below it, with all statistics once more for each rule.
