@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import stage
+
 #: Training tokens by default, as a multiple of the tokens there are.
 BUDGET = 1.0
 #: Hash ranges by which a source's running sum is split, so that no task has a whole source.
@@ -60,10 +62,10 @@ def positioned(docs: DataFrame, schedule: DataFrame | None = None, budget: float
     tokens, or null texts, are not used. Repeated rows are used as often as they occur. Documents equal in hash are
     ordered by doc_id (nulls first) and a hash of the text.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("n_tokens"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("doc"), F.explode(F.array(tokens(F.col("text")))).alias("n_tokens"))
     rows = rows.where("n_tokens > 0").withColumn("turn", shuffled(F.col("doc"))).withColumn("range", F.floor(F.col("turn") / F.lit((1 << 32) // RANGES)))
     sums = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.floor(shuffled(F.col("doc_id")) / F.lit((1 << 32) // RANGES)).alias("range"), tokens(F.col("text")).alias("n"))
-    sums = sums.groupBy("source", "range").agg(F.sum("n").alias("n"))
+    sums = stage(sums.groupBy("source", "range").agg(F.sum("n").alias("n")), "sums")
     start = sums.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy("source")).alias("supply")).where("n > 0")
     supply = sums.groupBy("source").agg(F.sum("n").alias("supply")).where("supply > 0")
     pieces = demand(default_schedule(supply) if schedule is None else schedule.withColumn("source", F.coalesce("source", F.lit(""))))
