@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import L, PATRONYMIC, SURNAME, fold_dashes, is_upper, split_words, strip
+from lexigrid.schemas import QUERY
+
+from .text import L, PATRONYMIC, SURNAME, fold_dashes, is_upper, let, split_words, strip
 
 #: Two-letter upper-case words that are names and no pairs of initials in a query.
 SHORT_NAMES = "АН ДО ЗА ИЗ КЮ ЛИ НА НЕ НИ ОТ ПО УК ЯН".split()
@@ -17,33 +19,40 @@ PARTS = ("surname", "name_initial", "name_full", "patronymic_initial", "patronym
 def parse(term: Column) -> Column:
     """A struct of PARTS. Without a word all are null; an initial after a full name is not looked at."""
     kinds = F.transform(split_words(F.translate(fold_dashes(term), ",:;", " . ")), _classify)
-    words = F.transform(F.filter(kinds, lambda k: k["word"] != ""), lambda k: k["word"])
-    initials = F.flatten(F.transform(kinds, lambda k: k["initials"]))
-    return _assign(words, initials)
+    words = lambda k: F.array_remove(F.transform(k, lambda x: x["word"]), "")
+    initials = lambda k: F.flatten(F.transform(k, lambda x: x["initials"]))
+    return let(kinds, lambda k: let(initials(k), lambda i: _assign(words(k), i)))
 
 
 def _classify(t: Column) -> Column:
-    letters = F.regexp_replace(t, rf"[^{L}\-]", "")
+    return let(F.regexp_replace(t, rf"[^{L}\-]", ""), lambda letters: _kind(t, letters))
+
+
+def _kind(t: Column, letters: Column) -> Column:
     pair = t.rlike(rf"\A[{L}]\.[{L}]\.?\z")
-    single = F.length(letters) == 1
     bare = (F.length(letters) == 2) & is_upper(t) & ~F.upper(letters).isin(*SHORT_NAMES)
-    chars = F.array_remove(F.split(F.upper(letters), ""), "")
-    some = pair | single | bare
-    return F.struct(F.when(some, F.lit("")).otherwise(letters).alias("word"), F.when(some, chars).otherwise(F.array().cast("array<string>")).alias("initials"))
+    none = F.array().cast("array<string>")
+    some = pair | (F.length(letters) == 1) | bare
+    return let(some, lambda yes: F.struct(F.when(yes, F.lit("")).otherwise(letters).alias("word"), F.when(yes, F.array_remove(F.split(F.upper(letters), ""), "")).otherwise(none).alias("initials")))
 
 
 def _assign(words: Column, initials: Column) -> Column:
-    def scored(w: Column, i: Column) -> Column:
-        third = (i == 2) & (F.size(words) == 3) & F.upper(F.coalesce(F.get(words, F.lit(1)), F.lit(""))).rlike(PATRONYMIC)
-        return F.struct((F.when(F.upper(w).rlike(SURNAME), 10).otherwise(0) + F.when(third, 20).otherwise(0)).alias("score"), (-i).alias("order"))
+    def scored(ws: Column) -> Column:
+        third = (F.size(ws) == 3) & F.upper(F.coalesce(F.get(ws, F.lit(1)), F.lit(""))).rlike(PATRONYMIC)
+        points = lambda w, i: F.when(F.upper(w).rlike(SURNAME), 10).otherwise(0) + F.when((i == 2) & third, 20).otherwise(0)
+        best = -F.array_max(F.transform(ws, lambda w, i: F.struct(points(w, i).alias("score"), (-i).alias("order"))))["order"]
+        return let(best, lambda b: chosen(ws, b))
+
+    def chosen(ws: Column, best: Column) -> Column:
+        return let(F.filter(ws, lambda w, i: i != best), lambda rest: parts(F.get(ws, best), rest))
 
-    best = -F.array_max(F.transform(words, scored))["order"]
-    rest = F.filter(words, lambda w, i: i != best)
-    name, patronymic = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
-    first = lambda full, k: F.coalesce(F.upper(F.substring(full, 1, 1)), F.get(initials, F.lit(k)))
-    some = F.size(words) > 0
-    values = (F.get(words, best), first(name, 0), name, first(patronymic, 1), patronymic)
-    return F.struct(*[F.when(some, v).alias(n) for n, v in zip(PARTS, values)])
+    def parts(surname: Column, rest: Column) -> Column:
+        name, patronymic = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
+        first = lambda full, k: F.coalesce(F.upper(F.substring(full, 1, 1)), F.get(initials, F.lit(k)))
+        values = (surname, first(name, 0), name, first(patronymic, 1), patronymic)
+        return F.struct(*[F.when(surname.isNotNull(), v).alias(n) for n, v in zip(PARTS, values)])
+
+    return let(words, scored)
 
 
 def parse_literal(term: str) -> dict[str, str | None]:
@@ -68,13 +77,19 @@ def parse_literal(term: str) -> dict[str, str | None]:
 def terms(table: DataFrame, term: str = "term", order: str = "term_ord") -> DataFrame:
     """(term_ord, term, PARTS...) of a table of terms; blank terms go."""
     rows = table.select(F.col(order).cast("int").alias("term_ord"), strip(F.col(term)).alias("term")).where("term <> ''")
-    return rows.select("term_ord", "term", parse(F.col("term")).alias("q")).select("term_ord", "term", "q.*")
+    # A generator keeps filters on the parts above the parsing, which is then done once.
+    return rows.select("term_ord", "term", F.explode(F.array(parse(F.col("term")))).alias("q")).select("term_ord", "term", "q.*")
+
+
+def split_terms(text: str | list[str]) -> list[str]:
+    """Terms of a comma-separated string, or of a list; blank ones go."""
+    return [t.strip() for t in (text.split(",") if isinstance(text, str) else text) if t.strip()]
 
 
-def split_terms(spark: SparkSession, text: str | list[str]) -> DataFrame:
-    """(term_ord, term) of a comma-separated string, or of a list."""
-    found = [t.strip() for t in (text.split(",") if isinstance(text, str) else text)]
-    return spark.createDataFrame([(i, t) for i, t in enumerate(t for t in found if t)], "term_ord int, term string")
+def literal_terms(spark: SparkSession, text: str | list[str]) -> DataFrame:
+    """The queries (schemas.QUERY) of a literal list, parsed here."""
+    rows = [(i, t, *(parse_literal(t)[p] for p in PARTS)) for i, t in enumerate(split_terms(text))]
+    return spark.createDataFrame(rows, QUERY)
 
 
 def mode(q: str = "") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ PATRONYMIC = "(?:ИЧ|ОВНА|ЕВНА|ИЧНА)$"
 SURNAME = "(?:ОВА?|ЕВА?|ИНА?|[СЦ]КИЙ|[СЦ]КАЯ)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -66,7 +73,11 @@ def trim_punctuation(c: Column) -> Column:
     c = fold_dashes(colon_to_dot(c))
     c = F.regexp_replace(c, rf"^[^{WORDCHAR}\-]+", "")
     c = F.regexp_replace(c, rf"[^{WORDCHAR}.\-]+$", "")
-    dropped = F.regexp_replace(F.substring(c, 1, F.length(c) - 1), rf"[^{WORDCHAR}\-]+$", "")
+    return let(c, _without_dot)
+
+
+def _without_dot(c: Column) -> Column:
+    dropped = F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - 1), rf"[^{WORDCHAR}\-]+$", "")
     return F.when(c.endswith(".") & ~c.rlike(rf"\A(?:[{L}]\.)+\z"), dropped).otherwise(c)
 
 
@@ -84,38 +95,59 @@ def token_type(c: Column) -> Column:
 
 def normalize_surname(c: Column) -> Column:
     """The nominative of an inflected surname by suffix rules, upper case; at least three letters stay before the suffix."""
-    w = F.upper(strip(c))
-    done = w.rlike("(?:ОВ|ЕВ|ИН|[СЦ]КИЙ)$")
-    out = F.regexp_replace(w, "^(.{3,}[СЦ]К)(?:ОГО|ОМУ|ИМ|ОЙ)$", "$1ИЙ")
-    out = F.regexp_replace(out, "^(.{3,}(?:ОВ|ЕВ))(?:ОГО|ОМУ|ЫМ|ОМ|ЫХ|ОЙ|У|Е|Ы|А)$", "$1")
-    out = F.regexp_replace(out, "^(.{3,}ИН)(?:ОГО|ОМУ|ЫМ|ЫХ|ОЙ|У|Е|Ы|А)$", "$1")
-    return F.when(done, w).otherwise(out)
+
+    def normal(w: Column) -> Column:
+        out = F.regexp_replace(w, "^(.{3,}[СЦ]К)(?:ОГО|ОМУ|ИМ|ОЙ)$", "$1ИЙ")
+        out = F.regexp_replace(out, "^(.{3,}(?:ОВ|ЕВ))(?:ОГО|ОМУ|ЫМ|ОМ|ЫХ|ОЙ|У|Е|Ы|А)$", "$1")
+        out = F.regexp_replace(out, "^(.{3,}ИН)(?:ОГО|ОМУ|ЫМ|ЫХ|ОЙ|У|Е|Ы|А)$", "$1")
+        return F.when(w.rlike("(?:ОВ|ЕВ|ИН|[СЦ]КИЙ)$"), w).otherwise(out)
+
+    return let(F.upper(strip(c)), normal)
+
+
+def _any(w: Column, *suffixes: str) -> Column:
+    out = w.endswith(suffixes[0])
+    for s in suffixes[1:]:
+        out = out | w.endswith(s)
+    return out
 
 
 def _with(base: Column, endings: str) -> Column:
-    return F.array(*[F.concat(base, F.lit(e)) for e in endings.split()])
-
-
-def surname_forms(c: Column) -> Column:
-    """Inflected forms of a surname, itself first."""
-    w = F.upper(strip(c))
-    cut = lambda n: F.substring(w, 1, F.length(w) - n)
-    more = (
-        F.when(w.rlike("(?:ОВ|ЕВ|ИН)$"), _with(w, "А Е ОГО ОМ ОМУ У ЫМ ЫХ"))
-        .when(w.rlike("(?:ОВА|ЕВА|ИНА)$"), _with(cut(1), "Е ОЙ ОЮ У"))
-        .when(w.rlike("[СЦ]КИЙ$"), _with(cut(2), "ИЕ ИМ ИХ ОГО ОМ ОМУ"))
-        .when(w.rlike("[СЦ]КАЯ$"), _with(cut(2), "ОЙ УЮ"))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return F.when(w == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(w), more)))
-
-
-def word_forms(c: Column) -> Column:
-    """Case forms of a word, itself first."""
-    w = F.upper(strip(c))
-    base = F.substring(w, 1, F.length(w) - 1)
-    more = F.when(w.rlike("[^АЕИОУЫЭЮЯ]$"), _with(w, "А Е ОМ У")).when(w.rlike("[АЯ]$"), _with(base, "Е ОЙ ОЮ У Ы")).otherwise(F.array().cast("array<string>"))
-    return F.when(w == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(w), more)))
+    return F.array(base, *[F.concat(base, F.lit(e)) for e in endings.split()])
+
+
+def _cut(w: Column, n: int, endings: str) -> Column:
+    return let(F.substring(w, F.lit(1), F.length(w) - n), lambda b: F.array(w, *[F.concat(b, F.lit(e)) for e in endings.split()]))
+
+
+def surname_forms(c: Column, ready: bool = False) -> Column:
+    """Inflected forms of a surname, itself first. `ready` text is in upper case and has no blanks around."""
+
+    def forms(w: Column) -> Column:
+        return (
+            F.when(w == "", F.array().cast("array<string>"))
+            .when(_any(w, "ОВ", "ЕВ", "ИН"), _with(w, "А Е ОГО ОМ ОМУ У ЫМ ЫХ"))
+            .when(_any(w, "ОВА", "ЕВА", "ИНА"), _cut(w, 1, "Е ОЙ ОЮ У"))
+            .when(_any(w, "СКИЙ", "ЦКИЙ"), _cut(w, 2, "ИЕ ИМ ИХ ОГО ОМ ОМУ"))
+            .when(_any(w, "СКАЯ", "ЦКАЯ"), _cut(w, 2, "ОЙ УЮ"))
+            .otherwise(F.array(w))
+        )
+
+    return forms(c) if ready else let(F.upper(strip(c)), forms)
+
+
+def word_forms(c: Column, ready: bool = False) -> Column:
+    """Case forms of a word, itself first. `ready` text is in upper case and has no blanks around."""
+
+    def forms(w: Column) -> Column:
+        return (
+            F.when(w == "", F.array().cast("array<string>"))
+            .when(_any(w, "А", "Я"), _cut(w, 1, "Е ОЙ ОЮ У Ы"))
+            .when(F.right(w, F.lit(1)).isin(*"ЕИОУЫЭЮ"), F.array(w))
+            .otherwise(_with(w, "А Е ОМ У"))
+        )
+
+    return forms(c) if ready else let(F.upper(strip(c)), forms)
 
 
 def round_tenth(c: Column) -> Column:

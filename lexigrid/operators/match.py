@@ -32,7 +32,7 @@ def surname_matches(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     A token with a dash doesn't match a query without one. Equal forms are an equi-join on the form, once for each pair.
     """
     asked = queries.where("surname is not null").select("term_ord", F.struct(*queries.columns).alias("q"), _dash(F.col("surname")).alias("dashed"), F.explode(surname_forms(F.col("surname"))).alias("form"))
-    named = tokens.where("type = 'word'").withColumn("form", F.explode(surname_forms(F.col("text"))))
+    named = tokens.where("type = 'word'").withColumn("form", F.explode(surname_forms(F.col("text"), ready=True)))
     both = named.join(_few(asked), "form").where(F.col("dashed") | ~_dash(F.col("raw")))
     return both.drop("form", "dashed").dropDuplicates(["doc_id", "idx", "term_ord"])
 
@@ -41,7 +41,7 @@ def by_surname(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits of queries that are a surname only: the token is a form of the query's word, or the other way round."""
     asked = queries.where("surname is not null").select("term_ord", "term", F.upper("surname").alias("name"), F.col("surname").contains("-").alias("dashed"), F.explode(word_forms(F.col("surname"))).alias("key"))
     # A form of the query must be the token itself; the query itself may be any form of the token.
-    named = tokens.where("type = 'word'").withColumn("key", F.explode(word_forms(F.col("text"))))
+    named = tokens.where("type = 'word'").withColumn("key", F.explode(word_forms(F.col("text"), ready=True)))
     both = named.join(_few(asked), "key").where((F.col("key") == F.col("text")) | (F.col("key") == F.col("name")))
     both = both.where(F.col("dashed") | ~F.col("raw").contains("-")).dropDuplicates(["doc_id", "idx", "term_ord"])
     return first_hits(both.select("doc_id", "term_ord", F.col("term").alias("search_term"), F.col("raw").alias("found_text"), *BOX, F.col("idx").alias("surname_idx"), F.lit(0).alias("role_ord")))
@@ -126,11 +126,15 @@ def by_initials(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where(F.col("surname").isNull()).where("name_initial is not null or patronymic_initial is not null")
     both = rows.crossJoin(_few(asked.select("term_ord", "term", "name_initial", "patronymic_initial")))
     letter = lambda t: F.substring(t["text"], 1, 1)
-    t, second = F.col("t"), F.lit(None).cast(rows.schema["t"].dataType)
-    for k in range(GAP, 0, -1):
-        c = F.get("next", F.lit(k - 1))
+    t = F.col("t")
+
+    def ends(c: Column) -> Column:
         close = (F.abs(t["y0"] - c["y0"]) <= NEAR_Y) & (F.greatest(t["x0"], c["x0"]) - F.least(t["x1"], c["x1"]) <= NEAR_X)
-        second = F.when(c.isNull(), None).when(c["type"] == "junk", second).when((c["type"] != "initial") | ~close, None).when(letter(c) == F.col("patronymic_initial"), c).otherwise(second)
+        return c.isNotNull() & (c["type"] != "junk") & ((c["type"] != "initial") | ~close | (letter(c) == F.col("patronymic_initial")))
+
+    last = F.get(F.filter("next", ends), F.lit(0))
+    close = (F.abs(t["y0"] - last["y0"]) <= NEAR_Y) & (F.greatest(t["x0"], last["x0"]) - F.least(t["x1"], last["x1"]) <= NEAR_X)
+    second = F.when((last["type"] == "initial") & close & (letter(last) == F.col("patronymic_initial")), last)
     starts = letter(t) == F.coalesce("name_initial", "patronymic_initial")
     found = both.where(starts).withColumn("p", F.when(F.col("name_initial").isNotNull() & F.col("patronymic_initial").isNotNull(), second))
     found = found.where("name_initial is null or patronymic_initial is null or p is not null")

@@ -42,15 +42,18 @@ def merge_hyphens(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("seq", F.row_number().over(order))
     token = F.struct("text", "raw", "x0", "y0", "x1", "y1")
     rows = rows.withColumn("next", F.when(F.col("text").endswith("-"), F.array(*[F.lead(token, k).over(order) for k in range(1, AHEAD + 1)])))
-    stem = F.substring(F.col("text"), 1, F.length("text") - 1)
+    stem = F.substring(F.col("text"), F.lit(1), F.length("text") - 1)
     high = F.greatest(F.col("y1") - F.col("y0"), F.lit(8.0))
-    span: Column = F.lit(None).cast("int")
-    for k in range(AHEAD, 0, -1):
-        to = F.col("next")[k - 1]
+
+    def outcome(to: Column, k: Column) -> Column:
+        """What the token k + 1 ahead decides: it is skipped (0), ends the search (1) or is the continuation (2)."""
         down = to["y0"] - F.col("y0")
-        joins = F.lit(k == 1) | ((down > 0) & (down < high * 4) & (F.abs(to["x0"] - F.col("x0")) < 150))
-        span = F.when(to.isNull(), None).when(~is_word(to["text"]), span).when(~is_word(stem), None).when(joins, k).when(down > high * 4, None).otherwise(span)
-    rows = rows.withColumn("span", F.when(F.col("next").isNotNull(), span).cast("int"))
+        joins = (k == 0) | ((down > 0) & (down < high * 4) & (F.abs(to["x0"] - F.col("x0")) < 150))
+        return F.when(to.isNull(), 1).when(~is_word(to["text"]), 0).when(~is_word(stem), 1).when(joins, 2).when(down > high * 4, 1).otherwise(0)
+
+    decided = F.transform("next", lambda to, k: F.struct(outcome(to, k).alias("is"), (k + 1).alias("span")))
+    first = F.get(F.filter(decided, lambda d: d["is"] > 0), F.lit(0))
+    rows = rows.withColumn("first", first).withColumn("span", F.when(F.col("first.is") == 2, F.col("first.span"))).drop("first")
     found = rows.where("span is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "span"))).alias("all"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("kept"))
     step = lambda a, m: F.when(m["seq"] > a["end"], F.struct((m["seq"] + m["span"]).alias("end"), F.concat(a["kept"], F.array(m["seq"])).alias("kept"))).otherwise(a)

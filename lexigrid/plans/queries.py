@@ -54,7 +54,7 @@ def russian_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, terms: list[str]) -> DataFrame:
-    return names.terms(names.split_terms(spark, terms))
+    return names.literal_terms(spark, terms)
 
 
 def values(terms: list[str]) -> str:
