@@ -243,7 +243,7 @@ def packed_ids(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, sh
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     rows = reachable(docs).where(F.octet_length("text") > 0).select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
-    rows = rows.repartition(int(shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionById(int(shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.mapInArrow(_packed(path, length), COLUMNS)
 
 
