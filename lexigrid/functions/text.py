@@ -81,6 +81,11 @@ def _without_dot(c: Column) -> Column:
     return F.when(c.endswith(".") & ~c.rlike(rf"\A(?:[{L}]\.)+\z"), dropped).otherwise(c)
 
 
+def plain(c: Column) -> Column:
+    """A word that all cleaning leaves as it is: at least two letters, of which only the first may be a capital."""
+    return c.rlike(rf"\A[{L}][{LOW}]+\z")
+
+
 def is_initial(c: Column) -> Column:
     return F.upper(c).rlike(rf"\A[{U}]\.?\z")
 

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.functions.text import colon_to_dot, fold_dashes, fragments, is_word, strip, strip_numbering, token_type, trim_punctuation, unglue
+from lexigrid.functions.text import colon_to_dot, fold_dashes, fragments, is_word, plain, strip, strip_numbering, token_type, trim_punctuation, unglue
 
 AHEAD = 4
 
 
 def expand(words: DataFrame) -> DataFrame:
     """Fragments of words with their share of the box, `raw`, and `idx`, the place in the document."""
-    kept = words.withColumn("clean", unglue(colon_to_dot(fold_dashes(strip(F.col("text")))))).where("clean <> ''")
-    kept = kept.withColumn("bits", fragments(F.col("clean"))).withColumn("char", (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1)))
+    # Most words are plain, and pass by the cleaning.
+    kept = words.withColumn("plain", plain(F.col("text")))
+    unglued = unglue(colon_to_dot(fold_dashes(strip(F.col("text")))))
+    kept = kept.withColumn("clean", F.explode(F.array(F.when(F.col("plain"), F.col("text")).otherwise(unglued)))).where("clean <> ''")
+    kept = kept.withColumn("bits", F.when(F.col("plain"), F.array("clean")).otherwise(fragments(F.col("clean")))).withColumn("char", (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1)))
     ends = F.transform("bits", lambda b, i: F.aggregate(F.slice("bits", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    ends = F.when(F.size("bits") <= 1, F.array(F.lit(0))).otherwise(ends)
     rows = kept.select("doc_id", "word_pos", "page", "text", "clean", "x0", "y0", "x1", "y1", "char", F.size("bits").alias("n"), F.posexplode_outer(F.arrays_zip("bits", ends.alias("at"))).alias("k", "bit"))
     several, piece = F.col("n") > 1, F.col("bit.bits")
     left = F.col("x0") + F.col("char") * F.col("bit.at")
@@ -29,6 +33,7 @@ def expand(words: DataFrame) -> DataFrame:
 def clean(expanded: DataFrame) -> DataFrame:
     """Without numbering and signs at the ends; what is then empty goes, which leaves gaps in idx."""
     text = trim_punctuation(strip_numbering(strip(F.col("text"))))
+    text = F.when(plain(F.col("text")), F.col("text")).otherwise(text)
     return expanded.withColumn("text", F.explode(F.array(text))).where("text <> ''")
 
 
@@ -74,4 +79,4 @@ def merge_hyphens(raw: DataFrame) -> DataFrame:
 def tokens(words: DataFrame) -> DataFrame:
     """Tokens (schemas.TOKEN) of words; all steps keep the partitioning by doc_id."""
     rows = merge_hyphens(clean(expand(words)))
-    return rows.select("doc_id", "idx", "page", "x0", "y0", "x1", "y1", token_type(F.col("text")).alias("type"), F.upper("text").alias("text"), "raw", "parts")
+    return rows.select("doc_id", "idx", "page", "x0", "y0", "x1", "y1", F.when(plain(F.col("text")), "word").otherwise(token_type(F.col("text"))).alias("type"), F.upper("text").alias("text"), "raw", "parts")
