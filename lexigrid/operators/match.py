@@ -77,7 +77,9 @@ def score(s: Column, n: Column, p: Column | None, high: Column) -> Column:
 
 
 def candidates(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, term_ord, q, s, t, is_name, is_patronymic): tokens of the page around each surname that fit a part of the query."""
+    """(doc_id, term_ord, q, s, t, is_name, is_patronymic): tokens of the page around each surname that fit a part of the
+    query. Tokens are on both sides, and persisted; the caller may unpersist them."""
+    tokens = tokens.persist()
     fields = ("idx", *BOX, "type", "text", "raw")
     found = surname_matches(tokens, queries.where(mode() == "fio")).select("doc_id", "page", "term_ord", "q", F.struct(*fields).alias("s"))
     around = tokens.select("doc_id", "page", F.struct(*fields).alias("t"))
@@ -150,6 +152,10 @@ def first_hits(hits: DataFrame) -> DataFrame:
 
 
 def search(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits (schemas.HIT) of all queries, each dispatched by its parts; hits of different queries are not compared."""
+    """Hits (schemas.HIT) of all queries, each dispatched by its parts; hits of different queries are not compared.
+
+    Tokens are used by each branch, and persisted (memory, then disk) at first use; the caller may unpersist them.
+    """
+    tokens = tokens.persist()
     out = by_full_name(tokens, queries)
     return out.unionByName(by_surname(tokens, queries.where(mode() == "surname"))).unionByName(by_initials(tokens, queries.where(mode() == "initials")))
