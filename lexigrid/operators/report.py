@@ -44,7 +44,8 @@ def file_summary(results: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def report_lines(covered: DataFrame) -> DataFrame:
     """(doc_id, line_ord, line): the text report, a line for each term after a heading for each document."""
-    total = covered.groupBy("doc_id").agg(F.sum("found_tokens").alias("f"), F.sum("possible_tokens").alias("p"))
-    head = total.select("doc_id", F.lit(-1).alias("line_ord"), F.format_string("Document %d: %d of %d", "doc_id", "f", "p").alias("line"))
-    body = covered.select("doc_id", F.col("term_ord").alias("line_ord"), F.format_string("  %s: %d", "term", "found_count").alias("line"))
-    return head.unionByName(body)
+    whole = covered.groupBy("doc_id").agg(F.sum("found_tokens").alias("f"), F.sum("possible_tokens").alias("p"), F.sort_array(F.collect_list(F.struct("term_ord", "term", "found_count"))).alias("terms"))
+    line = lambda order, text: F.struct(order.cast("int").alias("line_ord"), text.alias("line"))
+    head = F.array(line(F.lit(-1), F.format_string("Document %d: %d of %d", "doc_id", "f", "p")))
+    body = F.transform("terms", lambda t: line(t["term_ord"], F.format_string("  %s: %d", t["term"], t["found_count"])))
+    return whole.select("doc_id", F.inline(F.concat(head, body)))
