@@ -1,13 +1,15 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by runs of lines.
 
-Every line has a hash, and a rolling hash over `WINDOW` lines decides where chunks end, so that boundaries follow the
-content and not the line numbers. Chunks of two lines or more that occur again anywhere are removed but for their first
-occurrence, after their bytes have been compared.
+All pairs of neighbouring lines, and long lines by themselves, are compared by hash and then by their bytes; those that
+occur again anywhere are removed but for their first occurrence. The pairs overlap, so a repeated run of two lines or more
+goes as a whole, wherever it stands and however it is laid out. `Chunks` is the cheaper partition in which a rolling hash
+over `WINDOW` lines decides where chunks end; runs that its boundaries cut differently in two places are missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,31 +18,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import reachable, stage
-from .text import U, buffers, mix, slices, span_hashes
+from .text import SOLID, U, buffers, mix, slices, span_hashes, spans
 
 #: Lines under the rolling hash, and the number of its values of which one ends a chunk.
 WINDOW, DIVISOR = 2, 2
 #: A run of lines without a boundary is cut after each so many.
 MOST_LINES = 32
-#: A chunk is compared if it has so many lines; a line of LONG_WORDS is a chunk by itself and compared too.
+#: A chunk is compared if it has so many lines; a line of LONG_WORDS words (by white space) is compared by itself too.
 LEAST_LINES, LONG_WORDS = 2, 50
 
 
+def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, byte start, end (with the newline), end of the body (without) and number of words of every line."""
+    filled = offsets[1:] > offsets[:-1]
+    end = np.unique(np.concatenate([np.flatnonzero(raw == 10) + 1, offsets[1:][filled]]))
+    start = np.concatenate([offsets[:1], end[:-1]]) if len(end) else end
+    row = np.searchsorted(offsets, start, side="right") - 1
+    body = end - (raw[end - 1] == 10) if len(end) else end
+    word = spans(raw, offsets, SOLID)[0]
+    return row, start, end, body, np.searchsorted(word, end) - np.searchsorted(word, start)
+
+
+class Runs:
+    """What is compared in a slice of texts, in order: each line that has words with the next such line of its row (and the
+    blank lines between), and each line of LONG_WORDS by itself. Attributes as in `Chunks`; the spans overlap."""
+
+    def __init__(self, texts: pa.Array):
+        self.raw, self.offsets = buffers(texts)
+        *lines, words = _lines(self.raw, self.offsets)
+        row, start, end, body, words = (x[words > 0] for x in (*lines, words))
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        long = np.flatnonzero(words >= LONG_WORDS)
+        first, last = np.concatenate([pair, long]), np.concatenate([pair + 1, long])
+        order = np.lexsort((last, first))
+        first, last = first[order], last[order]
+        self.row, self.start, self.end, self.body = row[first], start[first], end[last], body[last]
+        self.hash = span_hashes(self.raw, self.start, self.body)
+        self.whole = np.ones(len(first), bool)
+        self.index = np.arange(len(first)) - np.searchsorted(self.row, self.row, side="left")
+
+
 class Chunks:
     """Chunks of a slice of texts, in order: `row`, byte `start`, `end` (with the last newline) and `body` (without), `index` in the row, `hash`, and `whole`: whether it is compared."""
 
     def __init__(self, texts: pa.Array):
         self.raw, self.offsets = raw, offsets = buffers(texts)
-        filled = offsets[1:] > offsets[:-1]
-        end = np.unique(np.concatenate([np.flatnonzero(raw == 10) + 1, offsets[1:][filled]]))
-        start = np.concatenate([offsets[:1], end[:-1]]) if len(end) else end
-        row = np.searchsorted(offsets, start, side="right") - 1
-        body = end - (raw[end - 1] == 10) if len(end) else end
+        row, start, end, body, words = _lines(raw, offsets)
         line = span_hashes(raw, start, body)
         same = np.zeros(len(row), bool)
         same[1:] = row[1:] == row[:-1]
-        blanks = np.concatenate([[0], np.cumsum(raw == 32)])
-        long = blanks[body] - blanks[start] + 1 >= LONG_WORDS
+        long = words >= LONG_WORDS
         rolling, ok = line.copy(), np.ones(len(row), bool)
         for k in range(1, WINDOW):
             ok[k:] &= same[k:] & ok[k - 1 : -1] if k > 1 else same[k:]
@@ -60,22 +87,22 @@ class Chunks:
         self.index = np.arange(len(begin)) - np.searchsorted(self.row, self.row, side="left")
 
 
-def _spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, doc, text) -> (id, doc, index, hash) of the chunks to compare."""
+def _spot(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.RecordBatch]:
+    """(id, doc, text) -> (id, doc, index, hash) of the units to compare."""
     for batch in batches:
         for lo, hi in slices(batch.column(2)):
             part = batch.slice(lo, hi - lo)
-            chunks = Chunks(part.column(2))
+            chunks = units(part.column(2))
             row = pa.array(chunks.row[chunks.whole])
             yield pa.record_batch([part.column(0).take(row), part.column(1).take(row), pa.array(chunks.index[chunks.whole].astype(np.int32)), pa.array(chunks.hash[chunks.whole].view(np.int64))], names=["id", "doc", "index", "hash"])
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, doc, text, wanted) -> (id, doc, index, hash, bytes) of the wanted chunks."""
+def _fetch(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.RecordBatch]:
+    """(id, doc, text, wanted) -> (id, doc, index, hash, bytes) of the wanted units."""
     for batch in batches:
         for lo, hi in slices(batch.column(2)):
             part = batch.slice(lo, hi - lo)
-            chunks = Chunks(part.column(2))
+            chunks = units(part.column(2))
             at = _places(chunks, part.column(3))
             size = chunks.body[at] - chunks.start[at]
             data = chunks.raw[np.repeat(chunks.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
@@ -84,77 +111,87 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0).take(row), part.column(1).take(row), pa.array(chunks.index[at].astype(np.int32)), pa.array(chunks.hash[at].view(np.int64)), content.cast(pa.binary())], names=["id", "doc", "index", "hash", "bytes"])
 
 
-def _places(chunks: Chunks, lists: pa.Array) -> np.ndarray:
-    """Positions in `chunks` of the chunk indexes in each row's list."""
+def _places(chunks: Runs | Chunks, lists: pa.Array) -> np.ndarray:
+    """Positions in `chunks` of the indexes in each row's list."""
     first = np.searchsorted(chunks.row, np.arange(len(lists)))
     owner = pa.compute.list_parent_indices(lists).to_numpy()
     return first[owner] + pa.compute.list_flatten(lists).to_numpy()
 
 
-def removed(texts: pa.Array, lists: pa.Array) -> pa.Array:
-    """Texts without the chunks of the given indexes."""
+def removed(texts: pa.Array, lists: pa.Array, units: type) -> pa.Array:
+    """Texts without the units of the given indexes (`clean`), and the number of unbroken stretches that went (`gone`)."""
     out = []
     for lo, hi in slices(texts):
-        chunks = Chunks(texts.slice(lo, hi - lo))
-        gone = np.zeros(len(chunks.row), bool)
-        gone[_places(chunks, lists.slice(lo, hi - lo))] = True
-        keep = ~np.repeat(gone, chunks.end - chunks.start)
+        chunks = units(texts.slice(lo, hi - lo))
+        at = _places(chunks, lists.slice(lo, hi - lo))
+        depth = np.zeros(len(chunks.raw) + 1, np.int64)
+        np.add.at(depth, chunks.start[at], 1)
+        np.add.at(depth, chunks.end[at], -1)
+        keep = np.cumsum(depth)[:-1] == 0
         kept = np.concatenate([[0], np.cumsum(keep)])
         size = kept[chunks.offsets]
-        out.append(pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(chunks.raw[keep]))))
-    return pa.concat_arrays(out).cast(pa.string()) if out else pa.array([], pa.string())
-
-
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, gone): rows is (row, id, doc, text), partitioned by id; gone is (id, doc, gone, chars) with the list of chunk indexes to remove from a row."""
-    rows = reachable(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc"), "text").repartition("id")
+        begins = ~keep
+        begins[1:] &= keep[:-1]
+        edges = chunks.offsets[:-1][chunks.offsets[:-1] < len(keep)]
+        begins[edges] = ~keep[edges]
+        gone = np.diff(np.concatenate([[0], np.cumsum(begins)])[chunks.offsets])
+        clean = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(chunks.raw[keep])))
+        out.append(pa.StructArray.from_arrays([clean.cast(pa.string()), pa.array(gone.astype(np.int32))], names=["clean", "gone"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("clean", pa.string()), ("gone", pa.int32())]))
+
+
+def repeated(docs: DataFrame, units: type) -> tuple[DataFrame, DataFrame]:
+    """(rows, gone): rows is (row, id, doc), partitioned by id; gone is (id, doc, gone) with the list of unit indexes to remove from a row."""
+    rows = reachable(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc")).repartition("id")
     spots = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc"), "text")
-    spots = spots.mapInArrow(_spot, "id long, doc long, index int, hash long").repartition("hash")
+    spots = spots.mapInArrow(partial(_spot, units=units), "id long, doc long, index int, hash long").repartition("hash")
     twice = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     wanted = spots.join(twice, "hash", "left_semi").groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("wanted"))
     wanted = stage(wanted.select(F.col("id").alias("want_id"), F.col("doc").alias("want_doc"), "wanted"), "wanted")
     same = (F.col("id") == F.col("want_id")) & F.col("doc").eqNullSafe(F.col("want_doc"))
-    found = rows.join(wanted, same).select("id", "doc", "text", "wanted").mapInArrow(_fetch, "id long, doc long, index int, hash long, bytes binary")
+    found = rows.join(wanted, same).select("id", "doc", F.col("row.text").alias("text"), "wanted").mapInArrow(partial(_fetch, units=units), "id long, doc long, index int, hash long, bytes binary")
     found = found.withColumn("check", F.xxhash64("bytes"))
     place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("id").alias("id"), F.col("index").alias("index"))
-    # Chunks of equal hashes are compared byte by byte here: a group is one content.
+    # Units of equal hashes are compared byte by byte here: a group is one content.
     equal = found.groupBy("hash", "check", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     first = equal.groupBy("hash", "check").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("contents"), F.max("first").alias("first"))
     first = first.where("n > 1 and contents = 1").select("hash", "check", "first")
-    later = found.select("id", "doc", "index", "hash", "check", F.length("bytes").alias("size"), place.alias("place")).join(first, ["hash", "check"]).where("place <> first")
-    gone = later.groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("gone"), F.sum("size").alias("bytes"))
-    return rows, stage(gone.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone", "bytes"), "gone")
+    later = found.select("id", "doc", "index", "hash", "check", place.alias("place")).join(first, ["hash", "check"]).where("place <> first")
+    gone = later.groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("gone"))
+    return rows, stage(gone.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone"), "gone")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """(row, clean, gone): all columns of `docs` in the struct `row`, the text without repeated chunks, and their number.
+def cleaned(docs: DataFrame, units: type = Chunks) -> DataFrame:
+    """(row, clean, gone): all columns of `docs` in the struct `row`, the text without what is repeated, and the number of
+    stretches that went. `units` says what is compared: with `Runs` every repeated run goes, with `Chunks` repeated chunks.
 
-    The first occurrence stays: the one of the least doc_id (nulls last), then by hash of the text and place in it. Rows that
-    agree in doc_id and text are one document, and keep or lose the same chunks. A null text stays null. Chunks whose
+    The first occurrence stays: the one of the least doc_id (nulls last), then by hash of the text and place in it. Of
+    overlapping runs each line's text stays at its first place, though its neighbours may stay elsewhere. Rows that
+    agree in doc_id and text are one document, and keep or lose the same lines. A null text stays null. Units whose
     two hashes agree though their bytes don't are left alone.
     """
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("clean string, gone int")
     def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        return removed(texts, lists)
+        return removed(texts, lists, units)
 
     without = without.asNondeterministic()  # so that it is evaluated once, though a filter looks at its result
-    rows, gone = repeated(docs)
+    rows, gone = repeated(docs, units)
     both = rows.join(gone, (F.col("id") == F.col("gone_id")) & F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
-    whole = both.where(F.col("gone").isNull()).select("row", F.col("text").alias("clean"), F.lit(0).alias("gone"))
-    cut = both.where(F.col("gone").isNotNull()).select("row", without("text", "gone").alias("clean"), F.size("gone").alias("gone"))
+    whole = both.where(F.col("gone").isNull()).select("row", F.col("row.text").alias("clean"), F.lit(0).alias("gone"))
+    cut = both.where(F.col("gone").isNotNull()).select("row", without("row.text", "gone").alias("out")).select("row", "out.clean", "out.gone")
     return whole.union(cut)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """`docs` with texts cleaned by `cleaned`, and n_chars to match; rows of which nothing is left go. Other columns, also of clashing names, stay as they are."""
-    rows = cleaned(docs)
+    rows = cleaned(docs, Runs)
     rows = rows.where((F.col("gone") == 0) | (F.trim(F.translate("clean", "\n\t\r", "   ")) != ""))
     new = {"text": F.col("clean"), "n_chars": F.when(F.col("gone") > 0, F.length("clean")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*[(new[c].cast(docs.schema[c].dataType) if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_line_chunks(spark, sf_dir: str) -> DataFrame:
-    """Every row of documents with its text without repeated chunks, and the number of chunks removed."""
-    rows = cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every row of documents with its text without repeated runs of lines, and the number of stretches removed."""
+    rows = cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet"), Runs)
     return rows.select("row.doc_id", F.col("clean").alias("text"), F.col("gone").alias("removed_chunks"))

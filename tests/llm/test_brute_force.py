@@ -88,6 +88,41 @@ def test_line_chunks(docs, texts):
     assert gone and got == want
 
 
+def test_repeated_runs_go_in_any_context(spark):
+    rng = np.random.default_rng(4)
+    line = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 10**6, n))
+    passages = [[line(60 // n + 1) for _ in range(n)] for n in (2, 3, 4, 8) for _ in range(20)]
+    passages.append([line(30), "", "\t", line(30)])
+    passages.append(["\t".join(line(50).split())])  # words by any white space
+    short = line(10)
+    docs, want = {}, {}
+    for k in range(3):
+        for p, passage in enumerate(passages):
+            before, after = ([line(12) for _ in range(rng.integers(1, 4))] for _ in range(2))
+            docs[k * 1000 + p] = "\n".join([short, *before, *passage, *after, short])
+            want[k * 1000 + p] = docs[k * 1000 + p] if k == 0 else docs[k * 1000 + p].replace("\n".join(passage) + "\n", "")
+    docs[5000] = want[5000] = "  ".join(line(30).split())  # 30 words, not 59
+    docs[5001] = want[5001] = docs[5000]
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = linechunks.cleaned(table, linechunks.Runs).select("row.doc_id", "clean", "gone").collect()
+    assert {r.doc_id: r.clean for r in rows} == want
+    assert {r.doc_id: r.gone for r in rows} == {k: int(1000 <= k < 5000) for k in docs}
+    assert {r.doc_id: r.text for r in linechunks.line_dedup(table).collect()} == want
+
+
+def test_runs(docs, texts):
+    places, found = defaultdict(list), {}
+    for k, v in sorted(texts.items()):
+        found[k] = lines = v.splitlines(keepends=True)
+        full = [i for i, x in enumerate(lines) if x.split()]
+        for i, j in [*zip(full, full[1:]), *((i, i) for i in full if len(lines[i].split()) >= 50)]:
+            places["".join(lines[i : j + 1]).removesuffix("\n")].append((k, i, j))
+    gone = {(k, x) for p in places.values() for k, i, j in sorted(p)[1:] for x in range(i, j + 1)}
+    want = {k: "".join(x for i, x in enumerate(lines) if (k, i) not in gone) for k, lines in found.items()}
+    got = {r.doc_id: r.clean for r in linechunks.cleaned(docs, linechunks.Runs).select("row.doc_id", "clean").collect()}
+    assert gone and got == want
+
+
 def test_shifted_chunks_meet():
     rng = np.random.default_rng(1)
     lines = [" ".join(f"t{x}" for x in rng.integers(0, 99, 6)) for _ in range(60)]
