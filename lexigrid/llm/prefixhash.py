@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import reachable, stage
 from .text import U, buffers, mix, slices
@@ -22,6 +23,8 @@ SEED = 48
 #: Bytes of passages that tasks are given at once; more are handled in several passes.
 PASSAGE_BYTES = 16 << 20
 _P = U(PRIME)
+#: Fields of a span, as `Passages.shared` returns them.
+SPAN = ("item", "doc_start", "item_start", "size")
 _tables: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -95,13 +98,13 @@ class Passages:
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(mix(self.value) >> U(64 - self.bits)).astype(np.int64)] = True
 
-    def longest(self, raw: np.ndarray, offsets: np.ndarray, prefixes: Prefixes) -> dict[str, np.ndarray]:
-        """For each row of texts the longest span that it shares with a passage, if it has SEED bytes; of equally long ones that of the least id, then the first in the text and in the passage."""
-        rows = len(offsets) - 1
-        none = {k: np.full(rows, -1, np.int64) for k in ("item", "doc_start", "item_start", "size")}
+    def shared(self, raw: np.ndarray, offsets: np.ndarray, prefixes: Prefixes) -> dict[str, np.ndarray]:
+        """All spans of SEED bytes or more that texts share with passages and that can't be extended to either side: `row`,
+        `item`, `doc_start`, `item_start`, `size`; by row, the longest first, of equally long ones that of the least id, then
+        the first in the text and in the passage."""
         start = np.arange(max(0, len(raw) - SEED + 1))
         if not len(start) or not len(self.value):
-            return none
+            return {k: np.zeros(0, np.int64) for k in ("row", *SPAN)}
         value = prefixes.spans(start, start + SEED)
         start = start[self.filter[(mix(value) >> U(64 - self.bits)).astype(np.int64)]]
         row = np.searchsorted(offsets, start, side="right") - 1
@@ -118,15 +121,15 @@ class Passages:
         fresh = (i == offsets[row]) | (j == self.offsets[item]) | (raw[i - 1] != self.raw[j - 1])
         i, j, row, item = i[fresh], j[fresh], row[fresh], item[fresh]
         size = extend(prefixes, i, self.prefixes, j, np.minimum(offsets[row + 1] - i, self.offsets[item + 1] - j))
-        order = np.lexsort((j, i, self.ids[item], -size, row))
-        first = order[np.unique(row[order], return_index=True)[1]]
-        first = first[size[first] >= SEED]
-        for k, v in (("item", self.ids[item]), ("doc_start", i - offsets[row]), ("item_start", j - self.offsets[item]), ("size", size)):
-            none[k][row[first]] = v[first]
-        return none
+        found = np.stack([row, self.ids[item], i - offsets[row], j - self.offsets[item], size], 1)[size >= SEED]
+        found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], -found[:, 4], found[:, 0]))]
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = (found[1:] != found[:-1]).any(1)  # a passage may be given twice
+        return dict(zip(("row", *SPAN), found[fresh].T))
 
 
-FOUND = T.StructType([T.StructField(k, T.LongType()) for k in ("fingerprint", "n_bytes", "item", "doc_start", "item_start", "size")])
+SPANS = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("item_id", "doc_start", "item_start", "span_bytes")]))
+FOUND = T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS)])
 
 
 def _scan(sent):
@@ -138,18 +141,20 @@ def _scan(sent):
             raw, offsets = buffers(texts.slice(lo, hi - lo))
             prefixes = Prefixes(raw)
             whole = prefixes.spans(offsets[:-1], offsets[1:]).astype(np.int64)
-            found = passages.longest(raw, offsets, prefixes)
-            parts.append([whole, np.diff(offsets), *(found[k] for k in ("item", "doc_start", "item_start", "size"))])
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6
-        return pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=[pa.field(f.name, pa.int64()) for f in FOUND])
+            found = passages.shared(raw, offsets, prefixes)
+            spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[k])) for k in SPAN], names=SPANS.elementType.names)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(found["row"], np.arange(hi - lo + 1)).astype(np.int32)), spans)
+            parts.append(pa.StructArray.from_arrays([pa.array(whole), pa.array(np.diff(offsets)), lists], names=FOUND.names))
+        return pa.concat_arrays(parts) if parts else pa.array([], to_arrow_type(FOUND))
 
     return scan
 
 
 def fingerprints(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """One row a row of `docs`: doc_id, `fingerprint` and `n_bytes` of the whole text, `copy_of` (the least doc_id of equal
-    text, nulls last), and the longest span shared with a passage: item_id, doc_start, item_start, span_bytes (bytes of UTF-8;
-    null without a span of SEED bytes).
+    text, nulls last), the longest span shared with a passage: item_id, doc_start, item_start, span_bytes (bytes of UTF-8;
+    null without a span of SEED bytes), and `spans`: all of them of SEED bytes or more, with every passage and at every place,
+    that can't be extended to either side, in that order (longest first, then by item_id, doc_start and item_start).
 
     A null or empty text has no fingerprint and is no copy. Repeated rows are copies of each other. Passages that are null or shorter than SEED
     match nothing. More passages than PASSAGE_BYTES are taken in several passes over `docs`.
@@ -158,27 +163,28 @@ def fingerprints(docs: DataFrame, passages: DataFrame) -> DataFrame:
     items = passages.where(F.col("item_id").isNotNull() & (F.octet_length("text") >= SEED)).select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // PASSAGE_BYTES))
-    best = None
+    every = None
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow()
         sent = spark.sparkContext.broadcast((some.column("item_id").to_numpy().astype(np.int64), some.column("text").combine_chunks() if some.num_rows else pa.array([], pa.string())))
         found = docs.select("doc_id", F.xxhash64("text").alias("node"), _scan(sent)("text").alias("found"))
-        best = found if best is None else best.union(found)
-    flat = best.select("doc_id", "node", "found.*")
+        every = found if every is None else every.union(found)
+    flat = every.select("doc_id", "node", "found.*")
     if passes > 1:  # a row has one result a pass: repeated rows agree in all, and are counted
-        order = F.struct(F.col("size"), (-F.col("item")).alias("item"), (-F.col("doc_start")).alias("doc_start"), (-F.col("item_start")).alias("item_start"))
-        flat = flat.groupBy("doc_id", "node", "fingerprint", "n_bytes").agg(F.max(order).alias("o"), (F.count(F.lit(1)) / passes).cast("int").alias("times"))
-        flat = flat.select("doc_id", "fingerprint", "n_bytes", (-F.col("o.item")).alias("item"), (-F.col("o.doc_start")).alias("doc_start"), (-F.col("o.item_start")).alias("item_start"), F.col("o.size").alias("size"), F.explode(F.sequence(F.lit(1), "times"))).drop("col")
-    flat = stage(flat.select("doc_id", "fingerprint", "n_bytes", "item", "doc_start", "item_start", "size"), "fingerprints")
+        flat = flat.groupBy("doc_id", "node", "fingerprint", "n_bytes").agg(F.collect_set("spans").alias("spans"), (F.count(F.lit(1)) / passes).cast("int").alias("times"))
+        turned = F.transform(F.flatten("spans"), lambda s: F.struct(-s["span_bytes"], s["item_id"], s["doc_start"], s["item_start"])).cast("array<struct<less:long,item_id:long,doc_start:long,item_start:long>>")
+        spans = F.transform(F.array_sort(F.array_distinct(turned)), lambda s: F.struct(s["item_id"], s["doc_start"], s["item_start"], -s["less"])).cast(SPANS)
+        flat = flat.select("doc_id", "fingerprint", "n_bytes", spans.alias("spans"), F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    flat = stage(flat.select("doc_id", "fingerprint", "n_bytes", "spans"), "fingerprints")
     least = flat.where("n_bytes > 0").groupBy("fingerprint", "n_bytes").agg(F.min("doc_id").alias("copy_of"))
     both = flat.join(least, ["fingerprint", "n_bytes"], "left")
-    some = lambda c: F.when(F.col("size") >= SEED, F.col(c))
+    longest = F.get("spans", F.lit(0))
     return both.select(
         "doc_id", F.when(F.col("n_bytes") > 0, F.col("fingerprint")).alias("fingerprint"), "n_bytes", "copy_of",
-        some("item").alias("item_id"), some("doc_start").alias("doc_start"), some("item_start").alias("item_start"), some("size").alias("span_bytes"),
+        *[longest[c].alias(c) for c in SPANS.elementType.names], "spans",
     )
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """The fingerprint of every document, its copies, and its longest span shared with a benchmark passage."""
+    """The fingerprint of every document, its copies, its longest span shared with a benchmark passage, and all such spans."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -215,6 +215,33 @@ def test_fingerprints(docs, texts, spark):
     assert {r.doc_id: r.copy_of for r in rows} == {k: first[v] for k, v in texts.items()}
 
 
+def test_fingerprints_of_several_passages(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    a, b, c, d = (word(n) for n in (90, 70, 80, 60))
+    items = {1: a, 2: b, 3: c + d, 4: a, 5: d + word(50), 6: word(100)}
+    table = {1: "x" + a + "é" + b + "--" + a, 2: c + "!" + d, 3: c + d, 4: b[:60] + "?" + b[10:], 5: word(200), 6: "", 7: None}
+
+    def maximal(x, y):
+        x, y = x.encode(), y.encode()
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            if x[i] == y[j] and (i == 0 or j == 0 or x[i - 1] != y[j - 1]):
+                n = next((n for n in range(min(len(x) - i, len(y) - j)) if x[i + n] != y[j + n]), min(len(x) - i, len(y) - j))
+                if n >= prefixhash.SEED:
+                    yield i, j, n
+
+    want = {k: sorted(((m, i, j, n) for m, y in items.items() for i, j, n in maximal(x or "", y)), key=lambda s: (-s[3], *s[:3])) for k, x in table.items()}
+    assert {m for m, *_ in want[1]} == {1, 2, 4} and len(want[1]) == 5 and {m for m, *_ in want[3]} == {3, 5} and len(want[4]) == 2
+    docs = spark.createDataFrame([*table.items(), (1, table[1])], "doc_id long, text string")
+    passages = spark.createDataFrame([*items.items(), (2, b)], "item_id long, text string")
+    for size in (prefixhash.PASSAGE_BYTES, 200):
+        monkeypatch.setattr(prefixhash, "PASSAGE_BYTES", size)
+        rows = prefixhash.fingerprints(docs, passages).collect()
+        assert sorted(r.doc_id for r in rows) == [1, *table]
+        assert all([tuple(s) for s in r.spans] == want[r.doc_id] for r in rows)
+        assert all((r.item_id, r.doc_start, r.item_start, r.span_bytes) == (want[r.doc_id] or [(None,) * 4])[0] for r in rows)
+
+
 def test_media_headers_and_shards(spark):
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 640, 480, 8, 2, 0, 0, 0) + b"x" * 5000
     wav = b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", 0, b"WAVE", b"fmt ", 16, 1, 2, 44100, 176400, 4, 16, b"data", 352800) + b"\0" * 352800
