@@ -18,6 +18,24 @@ from . import sql as q
 
 TERMS = ["Thing", "The In Of", "And T. O.", "Erst a i", "Eser", "Onst-er", "Ing A", "K.N."]
 RUSSIAN_TERMS = ["Инин", "Хеин", "Хеина Т А", "Ентин О. И.", "Анин Анд", "Инер", "Он"]
+#: What the terms mean, written out for the SQL: surname, initial and full given name, initial and full patronymic.
+MEANT = {
+    "Thing": ("Thing", None, None, None, None),
+    "The In Of": ("The", "I", "In", "O", "Of"),
+    "And T. O.": ("And", "T", None, "O", None),
+    "Erst a i": ("Erst", "A", None, "I", None),
+    "Eser": ("Eser", None, None, None, None),
+    "Onst-er": ("Onst-er", None, None, None, None),
+    "Ing A": ("Ing", "A", None, None, None),
+    "K.N.": (None, None, None, None, None),
+    "Инин": ("Инин", None, None, None, None),
+    "Хеин": ("Хеин", None, None, None, None),
+    "Хеина Т А": ("Хеина", "Т", None, "А", None),
+    "Ентин О. И.": ("Ентин", "О", None, "И", None),
+    "Анин Анд": ("Анин", "А", "Анд", None, None),
+    "Инер": ("Инер", None, None, None, None),
+    "Он": ("Он", None, None, None, None),
+}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -60,7 +78,7 @@ def asked(spark: SparkSession, terms: list[str]) -> DataFrame:
 def values(terms: list[str]) -> str:
     """The same queries as SQL rows."""
     lit = lambda v: "NULL" if v is None else f"'{v}'"
-    rows = ", ".join(f"({i}, {lit(s)}, {', '.join(lit(names.parse_literal(s)[p]) for p in names.PARTS)})" for i, s in enumerate(terms))
+    rows = ", ".join(f"({i}, {lit(s)}, {', '.join(map(lit, MEANT[s]))})" for i, s in enumerate(terms))
     return f"qs AS (SELECT * FROM (VALUES {rows}) v(term_ord, term, {', '.join(names.PARTS)}))"
 
 

@@ -102,7 +102,7 @@ tr AS (SELECT * REPLACE ({trimmed(unnumbered(stripped('text')))} AS text) FROM e
 rs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS seq FROM tr WHERE text <> ''),
 hy AS (SELECT *, CASE WHEN text LIKE '%-' THEN {span} END AS span FROM (SELECT *, {lead} FROM rs WINDOW o AS (PARTITION BY doc_id ORDER BY idx))),
 mm AS (SELECT doc_id, seq, span FROM hy WHERE span IS NOT NULL),
-nx AS (SELECT a.doc_id, a.seq, b.seq AS nxt FROM mm a ASOF LEFT JOIN mm b ON a.doc_id = b.doc_id AND a.seq + a.span < b.seq),
+nx AS (SELECT a.doc_id, a.seq, min(b.seq) AS nxt FROM mm a LEFT JOIN mm b ON a.doc_id = b.doc_id AND a.seq + a.span < b.seq GROUP BY a.doc_id, a.seq),
 kp AS (SELECT doc_id, min(seq) AS seq FROM mm GROUP BY doc_id UNION ALL SELECT nx.doc_id, nx.nxt FROM kp JOIN nx ON kp.doc_id = nx.doc_id AND kp.seq = nx.seq WHERE nx.nxt IS NOT NULL),
 mg AS (SELECT hy.*, kp.seq IS NOT NULL AS merges, max(CASE WHEN kp.seq IS NOT NULL THEN hy.seq + span END) OVER (PARTITION BY hy.doc_id ORDER BY hy.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until
   FROM hy LEFT JOIN kp ON hy.doc_id = kp.doc_id AND hy.seq = kp.seq),
