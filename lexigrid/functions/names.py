@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexigrid.schemas import QUERY
 
@@ -74,9 +75,16 @@ def parse_literal(term: str) -> dict[str, str | None]:
     return dict(zip(PARTS, (words[best], name[0].upper() if name else given[0], name, patronymic[0].upper() if patronymic else given[1], patronymic)))
 
 
-def terms(table: DataFrame, term: str = "term", order: str = "term_ord") -> DataFrame:
-    """(term_ord, term, PARTS...) of a table of terms; blank terms go."""
-    rows = table.select(F.col(order).cast("int").alias("term_ord"), strip(F.col(term)).alias("term")).where("term <> ''")
+def terms(table: DataFrame, term: str = "term", order: str = "term_ord", comma: bool = False) -> DataFrame:
+    """(term_ord, term, PARTS...) of a table of terms; null and blank terms go, repeated ones stay.
+
+    With `comma` a row is a comma-separated list of terms, and `term_ord` numbers all of them by `order` and place in the list.
+    Other columns aren't looked at.
+    """
+    rows = table.where(F.col(term).isNotNull()).select(F.col(order).alias("at"), F.posexplode(F.split(term, ",") if comma else F.array(term)).alias("k", "part"))
+    rows = rows.select("at", "k", strip(F.col("part")).alias("term")).where("term <> ''")
+    turn = F.row_number().over(Window.orderBy("at", "k")) - 1 if comma else F.col("at")  # a list of queries, which one task can number
+    rows = rows.select(turn.cast("int").alias("term_ord"), "term")
     # A generator keeps filters on the parts above the parsing, which is then done once.
     return rows.select("term_ord", "term", F.explode(F.array(parse(F.col("term")))).alias("q")).select("term_ord", "term", "q.*")
 

@@ -11,9 +11,13 @@ L = "A-Za-zА-Яа-яЁё"
 U = "A-ZА-ЯЁ"
 LOW = "a-zа-яё"
 WORDCHAR = r"\p{L}\p{N}_"
+#: Unicode white space.
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Short upper-case words that are no initials in a text.
 PLAIN_SHORT = "ДО ЗА ИЗ ИЛИ ИП МП МЫ НА НЕ НИ ОН ОНА ОНИ ОТ ПО ПРИ ФИО".split()
 FORM_WORDS = "ДАТА ДИРЕКТОР ДОЛЖНОСТЬ ИМЯ М.П. МП ОТЧЕСТВО ПОДПИСЬ РУКОВОДИТЕЛЬ ФАМИЛИЯ".split()
+#: Signs after words that trimming drops whatever else there is.
+SIGNS = ".,;!?"
 PATRONYMIC = "(?:ИЧ|ОВНА|ЕВНА|ИЧНА)$"
 SURNAME = "(?:ОВА?|ЕВА?|ИНА?|[СЦ]КИЙ|[СЦ]КАЯ)$"
 
@@ -25,12 +29,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def split_white(c: Column) -> Column:
+    """Parts between single characters of white space; a split at a plain blank compiles no pattern for each row."""
+    return F.split(F.translate(c, WHITE, " " * len(WHITE)), " ")
 
 
 def split_words(c: Column) -> Column:
     """White-space separated parts, none of them empty."""
-    return F.array_remove(F.split(c, r"(?U)\s+"), "")
+    return F.array_remove(split_white(c), "")
 
 
 def fold_dashes(c: Column) -> Column:
@@ -86,6 +95,15 @@ def plain(c: Column) -> Column:
     return c.rlike(rf"\A[{L}][{LOW}]+\z")
 
 
+def nearly_plain(c: Column) -> Column:
+    """A plain word with signs at its end or none: one fragment, of which `without_signs` is what trimming leaves."""
+    return c.rlike(rf"\A[{L}][{LOW}]+[{SIGNS}]*\z")
+
+
+def without_signs(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SIGNS))
+
+
 def is_initial(c: Column) -> Column:
     return F.upper(c).rlike(rf"\A[{U}]\.?\z")
 

@@ -1,6 +1,12 @@
 """Search for names among tokens: by surname, by surname with given name and patronymic, by initials.
 
-Queries are few and are broadcast after a check of their number; tokens stay partitioned by document.
+Queries are few and are broadcast after a check of their number (see `few`); tokens stay partitioned by document. No operator
+here persists anything: a caller that searches the same tokens by several branches persists them, and releases them after.
+
+In all of them tokens without a document, a page or a text match nothing, and neither do queries without a surname or initials;
+repeated queries (of one `term_ord`) are one query; repeated tokens (of one doc_id and idx) are one token, of which any stays;
+further columns of either table aren't looked at; without tokens or without queries there are no hits. Ties are
+resolved by idx, as the functions say.
 """
 
 from __future__ import annotations
@@ -18,7 +24,8 @@ GAP, NEAR_X, NEAR_Y = 6, 400, 80
 BOX = ("page", "x0", "y0", "x1", "y1")
 
 
-def _few(queries: DataFrame) -> DataFrame:
+def few(queries: DataFrame) -> DataFrame:
+    """`queries`, to be broadcast if there are at most BROADCAST_TERMS of them."""
     return F.broadcast(queries) if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else queries
 
 
@@ -33,7 +40,7 @@ def surname_matches(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.where("surname is not null").select("term_ord", F.struct(*queries.columns).alias("q"), _dash(F.col("surname")).alias("dashed"), F.explode(surname_forms(F.col("surname"))).alias("form"))
     named = tokens.where("type = 'word'").withColumn("form", F.explode(surname_forms(F.col("text"), ready=True)))
-    both = named.join(_few(asked), "form").where(F.col("dashed") | ~_dash(F.col("raw")))
+    both = named.join(few(asked), "form").where(F.col("dashed") | ~_dash(F.col("raw")))
     return both.drop("form", "dashed").dropDuplicates(["doc_id", "idx", "term_ord"])
 
 
@@ -42,7 +49,7 @@ def by_surname(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where("surname is not null").select("term_ord", "term", F.upper("surname").alias("name"), F.col("surname").contains("-").alias("dashed"), F.explode(word_forms(F.col("surname"))).alias("key"))
     # A form of the query must be the token itself; the query itself may be any form of the token.
     named = tokens.where("type = 'word'").withColumn("key", F.explode(word_forms(F.col("text"), ready=True)))
-    both = named.join(_few(asked), "key").where((F.col("key") == F.col("text")) | (F.col("key") == F.col("name")))
+    both = named.join(few(asked), "key").where((F.col("key") == F.col("text")) | (F.col("key") == F.col("name")))
     both = both.where(F.col("dashed") | ~F.col("raw").contains("-")).dropDuplicates(["doc_id", "idx", "term_ord"])
     return first_hits(both.select("doc_id", "term_ord", F.col("term").alias("search_term"), F.col("raw").alias("found_text"), *BOX, F.col("idx").alias("surname_idx"), F.lit(0).alias("role_ord")))
 
@@ -78,8 +85,7 @@ def score(s: Column, n: Column, p: Column | None, high: Column) -> Column:
 
 def candidates(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """(doc_id, term_ord, q, s, t, is_name, is_patronymic): tokens of the page around each surname that fit a part of the
-    query. Tokens are on both sides, and persisted; the caller may unpersist them."""
-    tokens = tokens.persist()
+    query. Tokens are on both sides of the join: it pays to persist them before."""
     fields = ("idx", *BOX, "type", "text", "raw")
     found = surname_matches(tokens, queries.where(mode() == "fio")).select("doc_id", "page", "term_ord", "q", F.struct(*fields).alias("s"))
     around = tokens.select("doc_id", "page", F.struct(*fields).alias("t"))
@@ -125,9 +131,10 @@ def by_initials(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("idx")
     token = F.struct("idx", *BOX, "type", "text", "raw")
     rows = tokens.select("doc_id", token.alias("t"), F.when(F.col("type") == "initial", F.array(*[F.lead(token, k).over(order) for k in range(1, GAP + 1)])).alias("next")).where("t.type = 'initial'")
-    asked = queries.where(F.col("surname").isNull()).where("name_initial is not null or patronymic_initial is not null")
-    both = rows.crossJoin(_few(asked.select("term_ord", "term", "name_initial", "patronymic_initial")))
     letter = lambda t: F.substring(t["text"], 1, 1)
+    asked = queries.where(F.col("surname").isNull()).where("name_initial is not null or patronymic_initial is not null").dropDuplicates(["term_ord"])
+    asked = asked.select("term_ord", "term", "name_initial", "patronymic_initial", F.coalesce("name_initial", "patronymic_initial").alias("letter"))
+    both = rows.withColumn("letter", letter(F.col("t"))).join(few(asked), "letter")
     t = F.col("t")
 
     def ends(c: Column) -> Column:
@@ -137,8 +144,7 @@ def by_initials(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     last = F.get(F.filter("next", ends), F.lit(0))
     close = (F.abs(t["y0"] - last["y0"]) <= NEAR_Y) & (F.greatest(t["x0"], last["x0"]) - F.least(t["x1"], last["x1"]) <= NEAR_X)
     second = F.when((last["type"] == "initial") & close & (letter(last) == F.col("patronymic_initial")), last)
-    starts = letter(t) == F.coalesce("name_initial", "patronymic_initial")
-    found = both.where(starts).withColumn("p", F.when(F.col("name_initial").isNotNull() & F.col("patronymic_initial").isNotNull(), second))
+    found = both.withColumn("p", F.when(F.col("name_initial").isNotNull() & F.col("patronymic_initial").isNotNull(), second))
     found = found.where("name_initial is null or patronymic_initial is null or p is not null")
     rows = found.select("doc_id", "term_ord", F.col("term").alias("search_term"), F.col("t.idx").alias("surname_idx"), F.posexplode(F.array("t", "p")).alias("role_ord", "m")).where("m is not null")
     return first_hits(rows.select("doc_id", "term_ord", "search_term", F.col("m.raw").alias("found_text"), *[F.col(f"m.{k}").alias(k) for k in BOX], "surname_idx", "role_ord"))
@@ -154,8 +160,7 @@ def first_hits(hits: DataFrame) -> DataFrame:
 def search(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits (schemas.HIT) of all queries, each dispatched by its parts; hits of different queries are not compared.
 
-    Tokens are used by each branch, and persisted (memory, then disk) at first use; the caller may unpersist them.
+    Tokens are used by each branch: it pays to persist them before, and to release them after.
     """
-    tokens = tokens.persist()
     out = by_full_name(tokens, queries)
     return out.unionByName(by_surname(tokens, queries.where(mode() == "surname"))).unionByName(by_initials(tokens, queries.where(mode() == "initials")))

@@ -6,47 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.functions.text import colon_to_dot, fold_dashes, fragments, is_word, plain, strip, strip_numbering, token_type, trim_punctuation, unglue
+from lexigrid.functions.text import colon_to_dot, fold_dashes, fragments, is_word, let, nearly_plain, plain, strip, strip_numbering, token_type, trim_punctuation, unglue, without_signs
 
 AHEAD = 4
 
 
-def expand(words: DataFrame) -> DataFrame:
-    """Fragments of words with their share of the box, `raw`, and `idx`, the place in the document."""
+def _pieces(words: DataFrame) -> DataFrame:
+    """Fragments of words before they are numbered: (doc_id, word_pos, k, page, text, raw, box)."""
+    some = words.where((strip(F.col("text")) != "") & F.col("doc_id").isNotNull()).withColumn("plain", nearly_plain(F.col("text")))
+
+    def split(clean: Column) -> Column:
+        return let(fragments(clean), lambda bits: F.when(F.size(bits) > 1, F.transform(bits, lambda b, i: F.struct(b.alias("bit"), before(bits, i).alias("at")))).otherwise(F.array(F.struct(clean.alias("bit"), F.lit(0).alias("at")))))
+
+    def before(bits: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(bits, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1)
+
     # Most words are plain, and pass by the cleaning.
-    kept = words.withColumn("plain", plain(F.col("text")))
-    unglued = unglue(colon_to_dot(fold_dashes(strip(F.col("text")))))
-    kept = kept.withColumn("clean", F.explode(F.array(F.when(F.col("plain"), F.col("text")).otherwise(unglued)))).where("clean <> ''")
-    kept = kept.withColumn("bits", F.when(F.col("plain"), F.array("clean")).otherwise(fragments(F.col("clean")))).withColumn("char", (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1)))
-    ends = F.transform("bits", lambda b, i: F.aggregate(F.slice("bits", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    ends = F.when(F.size("bits") <= 1, F.array(F.lit(0))).otherwise(ends)
-    rows = kept.select("doc_id", "word_pos", "page", "text", "clean", "x0", "y0", "x1", "y1", "char", F.size("bits").alias("n"), F.posexplode_outer(F.arrays_zip("bits", ends.alias("at"))).alias("k", "bit"))
-    several, piece = F.col("n") > 1, F.col("bit.bits")
-    left = F.col("x0") + F.col("char") * F.col("bit.at")
-    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("word_pos", "k")) - 1
+    whole = F.array(F.struct(F.col("text").alias("bit"), F.lit(0).alias("at")))
+    bits = F.when(F.col("plain"), whole).otherwise(let(unglue(colon_to_dot(fold_dashes(strip(F.col("text"))))), split))
+    box = ("x0", "y0", "x1", "y1")
+    rows = some.select("doc_id", "word_pos", "page", "text", "plain", *box, bits.alias("bits")).select("doc_id", "word_pos", "page", "text", "plain", *box, F.size("bits").alias("n"), F.posexplode("bits").alias("k", "piece"))
+    several, bit = F.col("n") > 1, F.col("piece.bit")
+    char = (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))
+    left = F.col("x0") + char * F.col("piece.at")
     return rows.select(
-        "doc_id", idx.cast("int").alias("idx"), "page", F.when(several, piece).otherwise(F.col("clean")).alias("text"), F.when(several, piece).otherwise(F.col("text")).alias("raw"),
-        F.when(several, left).otherwise(F.col("x0")).alias("x0"), "y0", F.when(several, left + F.col("char") * F.length(piece)).otherwise(F.col("x1")).alias("x1"), "y1",
+        "doc_id", "word_pos", "k", "page", bit.alias("text"), F.when(several, bit).otherwise(F.col("text")).alias("raw"), "plain",
+        F.when(several, left).otherwise(F.col("x0")).alias("x0"), "y0", F.when(several, left + char * F.length(bit)).otherwise(F.col("x1")).alias("x1"), "y1",
     )
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("word_pos", "k")) - 1
+    return pieces.withColumn("idx", idx.cast("int"))
+
+
+def _trimmed(c: Column) -> Column:
+    return F.when(plain(c), c).otherwise(trim_punctuation(strip_numbering(strip(c))))
+
+
+def expand(words: DataFrame) -> DataFrame:
+    """Fragments of words with their share of the box, `raw`, and `idx`, the place in the document.
+
+    Words without a document or a text, and blank ones, go. Words of one place in one document, as of repeated rows, are
+    kept and numbered in any order. Other columns aren't looked at, and an empty table gives an empty table.
+    """
+    return _numbered(_pieces(words)).select("doc_id", "idx", "page", "text", "raw", "x0", "y0", "x1", "y1")
+
+
 def clean(expanded: DataFrame) -> DataFrame:
-    """Without numbering and signs at the ends; what is then empty goes, which leaves gaps in idx."""
-    text = trim_punctuation(strip_numbering(strip(F.col("text"))))
-    text = F.when(plain(F.col("text")), F.col("text")).otherwise(text)
-    return expanded.withColumn("text", F.explode(F.array(text))).where("text <> ''")
+    """Without numbering and signs at the ends; what is then empty, or null, goes, which leaves gaps in idx."""
+    return expanded.withColumn("text", F.explode(F.array(_trimmed(F.col("text"))))).where("text <> ''")
 
 
-def merge_hyphens(raw: DataFrame) -> DataFrame:
+def merge_hyphens(raw: DataFrame, by: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Words broken by a hyphen joined with their continuation among the next AHEAD tokens; tokens between are swallowed.
 
-    Where it ends is a local matter of each hyphen; only a hyphen that another merge has swallowed may not merge, which
-    a fold over the document's hyphens decides.
+    Where it ends is a local matter of each hyphen; only a hyphen that another merge has swallowed may not merge. Hyphens
+    whose reaches overlap form a group, in which a fold decides; groups are short, whatever the length of the document.
+    `by` are the columns that order a document. A hyphen at the end of a document stays; an empty table is allowed.
     """
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    rows = raw.withColumn("seq", F.row_number().over(order))
-    token = F.struct("text", "raw", "x0", "y0", "x1", "y1")
-    rows = rows.withColumn("next", F.when(F.col("text").endswith("-"), F.array(*[F.lead(token, k).over(order) for k in range(1, AHEAD + 1)])))
+    order = Window.partitionBy("doc_id").orderBy(*by)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = raw.withColumn("dash", F.col("text").endswith("-"))
+    near = F.lit(False)
+    for k in range(1, AHEAD + 1):
+        near = near | F.coalesce(F.lag("dash", k).over(order), F.lit(False))
+    rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("near", near)
+    token = F.when(F.col("near"), F.struct("text", "raw", "x0", "y0", "x1", "y1"))  # few tokens follow a hyphen
+    rows = rows.withColumn("next", F.when(F.col("dash"), F.array(*[F.lead(token, k).over(order) for k in range(1, AHEAD + 1)])))
     stem = F.substring(F.col("text"), F.lit(1), F.length("text") - 1)
     high = F.greatest(F.col("y1") - F.col("y0"), F.lit(8.0))
 
@@ -57,16 +84,17 @@ def merge_hyphens(raw: DataFrame) -> DataFrame:
         return F.when(to.isNull(), 1).when(~is_word(to["text"]), 0).when(~is_word(stem), 1).when(joins, 2).when(down > high * 4, 1).otherwise(0)
 
     decided = F.transform("next", lambda to, k: F.struct(outcome(to, k).alias("is"), (k + 1).alias("span")))
-    first = F.get(F.filter(decided, lambda d: d["is"] > 0), F.lit(0))
-    rows = rows.withColumn("first", first).withColumn("span", F.when(F.col("first.is") == 2, F.col("first.span"))).drop("first")
-    found = rows.where("span is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "span"))).alias("all"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("kept"))
-    step = lambda a, m: F.when(m["seq"] > a["end"], F.struct((m["seq"] + m["span"]).alias("end"), F.concat(a["kept"], F.array(m["seq"])).alias("kept"))).otherwise(a)
-    kept = found.select(F.col("doc_id").alias("kept_doc"), F.aggregate("all", start, step)["kept"].alias("kept"))
-    rows = rows.join(kept, F.col("doc_id") == F.col("kept_doc"), "left")
-    merges = F.coalesce(F.array_contains("kept", F.col("seq")), F.lit(False)) & F.col("span").isNotNull()
-    rows = rows.withColumn("merges", merges).withColumn("until", F.max(F.when(F.col("merges"), F.col("seq") + F.col("span"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.where("until is null or seq > until")
+    first = let(F.get(F.filter(decided, lambda d: d["is"] > 0), F.lit(0)), lambda d: F.when(d["is"] == 2, d["span"]))
+    rows = rows.withColumn("span", F.when(F.col("dash"), first))
+    reach = F.col("seq") + F.col("span")
+    rows = rows.withColumn("ahead", F.max(reach).over(earlier))
+    inside = F.coalesce(F.col("seq") <= F.col("ahead"), F.lit(False))
+    opens = F.max(F.when(F.col("span").isNotNull() & ~inside, F.col("seq"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("group", F.when(inside | F.col("span").isNotNull(), opens))
+    before = F.collect_list(F.when(F.col("span").isNotNull(), F.struct(F.col("seq").alias("seq"), reach.alias("reach")))).over(Window.partitionBy("doc_id", "group").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before)
+    end = F.when(F.col("group").isNotNull(), F.aggregate("before", F.lit(0), lambda a, m: F.when(m["seq"] > a, m["reach"]).otherwise(a)))
+    rows = rows.withColumn("end", F.coalesce(end, F.lit(0))).where(F.col("seq") > F.col("end")).withColumn("merges", F.col("span").isNotNull())
     to = F.get("next", F.col("span") - 1)
     pick = lambda new, old: F.when(F.col("merges"), new).otherwise(F.col(old)).alias(old)
     box = lambda c: F.struct(*[(c[k] if c is not None else F.col(k)).alias(k) for k in ("x0", "y0", "x1", "y1")])
@@ -77,6 +105,12 @@ def merge_hyphens(raw: DataFrame) -> DataFrame:
 
 
 def tokens(words: DataFrame) -> DataFrame:
-    """Tokens (schemas.TOKEN) of words; all steps keep the partitioning by doc_id."""
-    rows = merge_hyphens(clean(expand(words)))
+    """Tokens (schemas.TOKEN) of words, which `expand`, `clean` and `merge_hyphens` describe.
+
+    All steps keep the partitioning by doc_id. Texts are cleaned before they are numbered, so that the filter on what is
+    left of them doesn't clean them twice, and the order by word and fragment, which the numbering needs, serves the merge.
+    """
+    pieces = _pieces(words).withColumn("trimmed", F.when(F.col("plain"), without_signs(F.col("text"))).otherwise(_trimmed(F.col("text"))))
+    rows = _numbered(pieces).where("trimmed <> ''").withColumn("text", F.col("trimmed")).drop("trimmed", "plain")
+    rows = merge_hyphens(rows, ("word_pos", "k"))
     return rows.select("doc_id", "idx", "page", "x0", "y0", "x1", "y1", F.when(plain(F.col("text")), "word").otherwise(token_type(F.col("text"))).alias("type"), F.upper("text").alias("text"), "raw", "parts")

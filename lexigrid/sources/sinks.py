@@ -1,4 +1,8 @@
-"""What a search leaves behind: texts, annotations, flags, previews."""
+"""What a search leaves behind: texts, annotations, flags, previews.
+
+Null documents are one document here (but match no hit), repeated words, hits and documents are as many words and
+annotations and one flag, further columns aren't looked at, and empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -31,5 +35,10 @@ def preview(words: DataFrame, n: int = 20) -> DataFrame:
     return words.withColumn("turn", turn).where(F.col("turn") <= n).drop("turn")
 
 
-def write_text(words: DataFrame, path: str) -> None:
-    texts(words).repartition("doc_id").write.partitionBy("doc_id").text(path)
+def write_text(words: DataFrame, path: str, files: bool = False) -> None:
+    """Texts of documents below `path`: a Parquet table (doc_id, text) in as many files as there are partitions or, with `files`,
+    a text file for each document in a folder `doc_id=...`, which suits thousands of documents and not billions."""
+    if files:
+        texts(words).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    else:
+        texts(words).write.parquet(path)

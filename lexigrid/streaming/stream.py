@@ -14,6 +14,10 @@ def search_stream(documents: DataFrame, queries: DataFrame, path: str, checkpoin
     """Writes hits of a stream (doc_id, text) to Parquet below `path`, a folder for each batch, which a repeated batch replaces."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        search(tokens(words(rows)), queries).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        found = tokens(words(rows)).persist()
+        try:
+            search(found, queries).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            found.unpersist()
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
