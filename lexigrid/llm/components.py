@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.dropna(subset=["a", "b"])
     both = stage(both.union(both.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = stage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    last = stage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    labels = last
     while True:
         near = both.join(labels.toDF("other", "seen"), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         step = labels.join(near, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("old"))
         jump = labels.toDF("label", "further")
-        step = step.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "old")
-        step = stage(step, "labels")
+        step = stage(step.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "old"), "labels")
+        discard(last)
         if step.where("label <> old").isEmpty():
+            discard(both)
             return step.select("node", "label")
-        labels = step.select("node", "label")
+        last, labels = step, step.select("node", "label")

@@ -166,21 +166,30 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> RuleMod
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled documents, those of the least hash of doc_id; null labels are left out."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
-    some = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "label").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # no larger than `rows`
+    """(doc_id, label, text) of at most `rows` labelled documents, those of the least hash of doc_id.
+
+    A document has one row: of several labels the greatest counts, of several texts of one doc_id the least. Null labels,
+    doc_ids and texts are left out.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
+    some = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id")  # no larger than `rows`
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> RuleModel:
-    """The rule ensemble of a bounded sample of labelled documents."""
+    """The rule ensemble of a bounded sample of labelled documents, which `labelled` chooses."""
     known = statistics(labelled(docs, labels, "quality", rows), F.col("text")).select("label", "stat.*")
-    table = known.orderBy(*known.columns).limit(2 * rows).toPandas().to_numpy(np.float64)
+    table = known.orderBy(*known.columns).toPandas().to_numpy(np.float64)
     return fit_rules(table[:, 1:], (table[:, 0] > 0.5).astype(np.float64))
 
 
 def scored(docs: DataFrame, model: RuleModel, cutoff: float = CUTOFF) -> DataFrame:
-    """(row, score, keep): the struct `row` has all columns of `docs`. A null or blank text scores 0 and isn't kept; repeated rows score alike."""
+    """(row, score, keep): the struct `row` has all columns of `docs`.
+
+    A null or blank text scores 0 and isn't kept; repeated rows score alike; texts of any length are looked at as a whole. An
+    empty table gives an empty table.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\S")
     rows = statistics(rows, F.col("row.text"))

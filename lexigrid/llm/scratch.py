@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; only where it is unset, as in tests, a temporary one is set."""
+    """The folder that `spark.checkpoint.dir` names. Where it is unset, a session in one process, as in tests, gets a temporary
+    one; a cluster has no folder then that all its machines see, which is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.conf.set("spark.checkpoint.dir", path)
     jvm = spark.sparkContext._jvm
@@ -28,11 +32,22 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again; a lost executor costs no recomputation."""
+    """`df` written as Parquet to the shared folder and read again; a lost executor costs no recomputation. What a result is read
+    from stays until the folder's owner clears it; `discard` deletes what no later step reads."""
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reachable(df: DataFrame) -> DataFrame:

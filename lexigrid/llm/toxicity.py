@@ -75,9 +75,10 @@ def ftrl(examples: list[np.ndarray], y: np.ndarray, bits: int = BITS, epochs: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
-    """The model of a bounded sample of labelled documents. Without labels it is empty, and every document scores 0.5."""
+    """The model of a bounded sample of labelled documents, which `labelled` chooses; they are learned in an order by hash.
+    Without labels the model is empty, and every document scores 0.5."""
     known = labelled(reachable(docs), labels, "toxic", rows).select("doc_id", "label", "text").mapInArrow(_indices, "doc_id long, label double, index array<int>")
-    table = known.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "label", "index").limit(2 * rows).toArrow()
+    table = known.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "label", "index").toArrow()
     flat = table.column("index").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     at, value = flat.offsets.to_numpy(), flat.values.to_numpy()
@@ -87,8 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[float
 def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], cutoff: float = CUTOFF) -> DataFrame:
     """(row, toxicity, toxic): the struct `row` has all columns of `docs`.
 
-    A text without words, or null, scores 0. Repeated rows score alike. The model goes to the tasks as its few
-    coordinates that aren't zero.
+    A text without words, or null, scores 0. Repeated rows score alike, texts of any length are looked at as a whole, and
+    an empty table gives an empty table. The model goes to the tasks as its few coordinates that aren't zero.
     """
     bias, index, weight = model
     sent = reachable(docs).sparkSession.sparkContext.broadcast((bias, index.astype(np.int32), weight))
