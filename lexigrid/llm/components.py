@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(last)
         if step.where("label <> old").isEmpty():
             discard(both)
-            return step.select("node", "label")
+            out = step.select("node", "label")
+            out.staged_at = step.staged_at
+            return out
         last, labels = step, step.select("node", "label")

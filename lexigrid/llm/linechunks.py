@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import reachable, stage
+from .scratch import discard, reachable, stage
 from .text import SOLID, U, buffers, mix, slices, span_hashes, spans
 
 #: Lines under the rolling hash, and the number of its values of which one ends a chunk.
@@ -26,6 +26,8 @@ WINDOW, DIVISOR = 2, 2
 MOST_LINES = 32
 #: A chunk is compared if it has so many lines; a line of LONG_WORDS words (by white space) is compared by itself too.
 LEAST_LINES, LONG_WORDS = 2, 50
+#: A row that shares this part of its units, and of the other's, with another is a copy of it as a whole.
+COPY = 2 / 3
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -140,35 +142,63 @@ def removed(texts: pa.Array, lists: pa.Array, units: type) -> pa.Array:
     return pa.concat_arrays(out) if out else pa.array([], pa.struct([("clean", pa.string()), ("gone", pa.int32())]))
 
 
-def repeated(docs: DataFrame, units: type) -> tuple[DataFrame, DataFrame]:
-    """(rows, gone): rows is (row, id, doc), partitioned by id; gone is (id, doc, gone) with the list of unit indexes to remove from a row."""
-    rows = reachable(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc")).repartition("id")
-    spots = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc"), "text")
-    spots = spots.mapInArrow(partial(_spot, units=units), "id long, doc long, index int, hash long").repartition("hash")
-    twice = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    wanted = spots.join(twice, "hash", "left_semi").groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("wanted"))
-    wanted = stage(wanted.select(F.col("id").alias("want_id"), F.col("doc").alias("want_doc"), "wanted"), "wanted")
-    same = (F.col("id") == F.col("want_id")) & F.col("doc").eqNullSafe(F.col("want_doc"))
-    found = rows.join(wanted, same).select("id", "doc", F.col("row.text").alias("text"), "wanted").mapInArrow(partial(_fetch, units=units), "id long, doc long, index int, hash long, bytes binary")
-    found = found.withColumn("check", F.xxhash64("bytes"))
+def _later(found: DataFrame) -> DataFrame:
+    """(id, doc, index, first): the units of `found` that stand elsewhere before, with their first place. Units of equal hashes
+    are compared byte by byte here: a group is one content."""
     place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("id").alias("id"), F.col("index").alias("index"))
-    # Units of equal hashes are compared byte by byte here: a group is one content.
     equal = found.groupBy("hash", "check", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     first = equal.groupBy("hash", "check").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("contents"), F.max("first").alias("first"))
     first = first.where("n > 1 and contents = 1").select("hash", "check", "first")
-    later = found.select("id", "doc", "index", "hash", "check", place.alias("place")).join(first, ["hash", "check"]).where("place <> first")
-    gone = later.groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("gone"))
-    return rows, stage(gone.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone"), "gone")
+    return found.select("id", "doc", "index", "hash", "check", place.alias("place")).join(first, ["hash", "check"]).where("place <> first").select("id", "doc", "index", "first")
+
+
+def _copies(later: DataFrame, spots: DataFrame) -> DataFrame:
+    """(id, doc) of the rows that share COPY of their units, and of the other's, with the row that has them first."""
+    units = spots.groupBy("id", "doc").agg((F.max("index") + 1).alias("units"))
+    lost = later.groupBy("id", "doc", F.col("first.id").alias("of_id"), F.col("first.doc").alias("of_doc")).agg(F.size(F.collect_set("index")).alias("lost"))
+    own = units.select(F.col("id").alias("own_id"), F.col("doc").alias("own_doc"), F.col("units").alias("own"))
+    its = units.select(F.col("id").alias("its_id"), F.col("doc").alias("its_doc"), F.col("units").alias("its"))
+    both = lost.join(own, (F.col("id") == F.col("own_id")) & F.col("doc").eqNullSafe(F.col("own_doc"))).where(F.col("lost") >= F.col("own") * COPY)
+    both = both.join(its, (F.col("of_id") == F.col("its_id")) & F.col("of_doc").eqNullSafe(F.col("its_doc"))).where(F.col("lost") >= F.col("its") * COPY)
+    return both.select(F.col("id").alias("copy_id"), F.col("doc").alias("copy_doc")).distinct()
 
 
-def cleaned(docs: DataFrame, units: type = Chunks) -> DataFrame:
+def repeated(docs: DataFrame, units: type, copies: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, gone): rows is (row, id, doc), partitioned by id; gone is (id, doc, gone) with the list of unit indexes to remove from a row.
+
+    Occurrences of a unit are counted where they are read, and only then shuffled by its hash, where a unit that is everywhere
+    may be split among tasks.
+    """
+    identity = F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").alias("doc")
+    rows = reachable(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *identity).repartition("id")
+    texts = docs.where(F.col("text").isNotNull()).select(*identity, "text")
+    spots = stage(texts.mapInArrow(partial(_spot, units=units), "id long, doc long, index int, hash long"), "spots")
+    twice = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    wanted = spots.join(twice, "hash", "left_semi").groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("wanted"))
+    wanted = wanted.select(F.col("id").alias("want_id"), F.col("doc").alias("want_doc"), "wanted")
+    same = (F.col("id") == F.col("want_id")) & F.col("doc").eqNullSafe(F.col("want_doc"))
+    found = texts.join(wanted, same).select("id", "doc", "text", "wanted").mapInArrow(partial(_fetch, units=units), "id long, doc long, index int, hash long, bytes binary")
+    found = stage(found.withColumn("check", F.xxhash64("bytes")), "found")
+    rest, whole = found, None
+    if not copies:
+        whole = stage(_copies(_later(found), spots), "copies")
+        rest = found.join(whole, (F.col("id") == F.col("copy_id")) & F.col("doc").eqNullSafe(F.col("copy_doc")), "left_anti")
+    gone = _later(rest).groupBy("id", "doc").agg(F.sort_array(F.collect_set("index")).alias("gone"))
+    gone = stage(gone.select(F.col("id").alias("gone_id"), F.col("doc").alias("gone_doc"), "gone"), "gone")
+    discard(spots, found, *([] if copies else [whole]))
+    return rows, gone
+
+
+def cleaned(docs: DataFrame, units: type = Chunks, copies: bool = True) -> DataFrame:
     """(row, clean, gone): all columns of `docs` in the struct `row`, the text without what is repeated, and the number of
     stretches that went. `units` says what is compared: with `Runs` every repeated run goes, with `Chunks` repeated chunks.
 
     The first occurrence stays: the one of the least doc_id (nulls last), then by hash of the text and place in it. Of
     overlapping runs each line's text stays at its first place, though its neighbours may stay elsewhere. Rows that
     agree in doc_id and text are one document, and keep or lose the same lines. A null text stays null. Units whose
-    two hashes agree though their bytes don't are left alone.
+    two hashes agree though their bytes don't are left alone. Without `copies`, rows that are copies of another as a whole
+    (COPY) stay as they are, for a search for near duplicates to drop; a run that stands in only one of the other rows stays
+    there. Texts of any length are looked at as a whole, and an empty table gives an empty table.
     """
 
     @F.arrow_udf("clean string, gone int")
@@ -176,16 +206,16 @@ def cleaned(docs: DataFrame, units: type = Chunks) -> DataFrame:
         return removed(texts, lists, units)
 
     without = without.asNondeterministic()  # so that it is evaluated once, though a filter looks at its result
-    rows, gone = repeated(docs, units)
+    rows, gone = repeated(docs, units, copies)
     both = rows.join(gone, (F.col("id") == F.col("gone_id")) & F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
     whole = both.where(F.col("gone").isNull()).select("row", F.col("row.text").alias("clean"), F.lit(0).alias("gone"))
     cut = both.where(F.col("gone").isNotNull()).select("row", without("row.text", "gone").alias("out")).select("row", "out.clean", "out.gone")
     return whole.union(cut)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, copies: bool = True) -> DataFrame:
     """`docs` with texts cleaned by `cleaned`, and n_chars to match; rows of which nothing is left go. Other columns, also of clashing names, stay as they are."""
-    rows = cleaned(docs, Runs)
+    rows = cleaned(docs, Runs, copies)
     rows = rows.where((F.col("gone") == 0) | (F.trim(F.translate("clean", "\n\t\r", "   ")) != ""))
     new = {"text": F.col("clean"), "n_chars": F.when(F.col("gone") > 0, F.length("clean")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*[(new[c].cast(docs.schema[c].dataType) if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
-from .scratch import reachable, stage
+from .scratch import discard, reachable, stage
 from .text import U, Words, buffers, mix, slices
 
 REGISTERS, ROWS, SHINGLE = 128, 4, 3
@@ -28,6 +28,8 @@ THRESHOLD = 0.5
 ESTIMATE = 0.33
 #: Share, about four standard errors above THRESHOLD, from which a pair counts as joined before it is verified.
 CERTAIN = 0.67
+#: Members of a bucket that one task pairs with as many others, and pairs of one document that one task verifies, about.
+BLOCK = 1000
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -93,26 +95,33 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, texts = batch.column(0), batch.column(1)
+        node, texts, check = batch.column(0), batch.column(1), batch.column(2)
         for lo, hi in slices(texts):
             words = Words(texts.slice(lo, hi - lo))
             some = np.flatnonzero(words.count > 0)
             if len(some):
                 sig = (prob_minhash(*weighted(words), words.rows) & 0xFFFF).astype(np.uint16)[some]
                 binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(some), [None, pa.py_buffer(np.ascontiguousarray(sig))])
-                yield pa.record_batch([node.slice(lo, hi - lo).take(pa.array(some)), binary.cast(pa.binary())], names=["node", "sig"])
+                at = pa.array(some + lo)
+                yield pa.record_batch([node.take(at), binary.cast(pa.binary()), check.take(at)], names=["node", "sig", "check"])
 
 
 def node_of(text: Column) -> Column:
-    """What stands for a text: equal texts are one node."""
+    """What stands for a text: texts of one node are equal if `check_of` them is equal too."""
     return F.xxhash64(text)
 
 
+def check_of(text: Column) -> Column:
+    """A second hash, independent of `node_of`, with the length: 96 bits and the length stand for a text."""
+    return F.shiftleft(F.octet_length(text).cast("long"), 32) + F.crc32(text.cast("binary"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(node, sig) of every distinct text that has a word."""
-    rows = reachable(docs).where(F.col("text").isNotNull()).select(node_of(F.col("text")).alias("node"), "text")
-    signed = rows.mapInArrow(_sign, "node long, sig binary")
-    return signed.groupBy("node").agg(F.first("sig").alias("sig"))
+    """(node, sig, least, most) of every node that has a word: the signature of the text of the least check, and the range of checks."""
+    node, check = node_of(F.col("text")), check_of(F.col("text"))
+    rows = reachable(docs).where(F.col("text").isNotNull()).select(node.alias("node"), "text", check.alias("check"))
+    signed = rows.mapInArrow(_sign, "node long, sig binary, check long")
+    return signed.groupBy("node").agg(F.min_by("sig", "check").alias("sig"), F.min("check").alias("least"), F.max("check").alias("most"))
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -161,26 +170,42 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) by their texts (node, text). A text goes once to each pair that it is `b` of, and once for all that it is `a` of."""
-    ends = pairs.select("a", "b", F.col("b").alias("node"), F.lit(False).alias("own"))
-    leads = pairs.select(F.col("a")).distinct().select("a", F.col("a").alias("b"), F.col("a").alias("node"), F.lit(True).alias("own"))
+    """(a, b, similarity) of pairs (a, b) by their texts (node, text). A text goes once to each pair that it is `b` of, and once for
+    each BLOCK of pairs that it is `a` of, so that no task has all pairs of a large group."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    pairs = pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    ends = pairs.select("a", "part", "b", F.col("b").alias("node"), F.lit(False).alias("own"))
+    leads = pairs.select("a", "part").distinct().select("a", "part", F.col("a").alias("b"), F.col("a").alias("node"), F.lit(True).alias("own"))
     ends = ends.union(leads)
     # Both sides grow with the corpus, so that neither is broadcast at any size.
-    needed = texts.join(ends.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    rows = ends.join(needed, "node").select("a", "b", "text", "own")
-    rows = rows.repartition("a").sortWithinPartitions("a", F.col("own").desc(), "b")
-    return rows.mapInArrow(_verify, "a long, b long, similarity double")
+    needed = texts.join(ends.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min_by("text", check_of(F.col("text"))).alias("text"))
+    rows = ends.join(needed, "node").select("a", "b", "text", "own", "part")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("own").desc(), "b")
+    return rows.select("a", "b", "text", "own").mapInArrow(_verify, "a long, b long, similarity double")
+
+
+def crossed(crowd: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of members (band, node, label) of one band that differ in label. Members of a large band are split
+    into blocks, and every two blocks meet in a task of their own."""
+    split = crowd.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("lo <> hi").select("band", "parts")
+    tiles = crowd.join(split, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select("band", F.least("own", "meets").alias("low"), F.greatest("own", "meets").alias("high"), "own", "node", "label")
+    pairs = tiles.join(tiles.toDF("band", "low", "high", "its", "other", "their"), ["band", "low", "high"])
+    pairs = pairs.where("node < other and label <> their and (low = high or own <> its)")
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs (a, b) of nodes that join the near-duplicate groups.
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of nodes that join the near-duplicate groups, and (node, least) of nodes that stand for several texts.
 
     Step one compares the signature of every member of a bucket with that of the bucket's least node. Step two compares
     members with each other that this leaves in different groups, where only a share of CERTAIN joins. So every pair
     that shares a bucket is either compared or already joined. All pairs of at least ESTIMATE are then verified by their
     texts, in one pass over these.
     """
-    signed = stage(signatures(docs), "signatures")
+    every = stage(signatures(docs), "signatures")
+    signed = every.select("node", "sig")
+    mixed = stage(every.where("least <> most").select("node", "least"), "mixed")
     texts = docs.where(F.col("text").isNotNull()).select(node_of(F.col("text")).alias("node"), "text")
     keyed = bands(signed).repartition("band")
     size = keyed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select("band", "a")
@@ -188,35 +213,36 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     star = crowd.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     first = stage(likely(star, signed), "likely")
     label = components(first.where(F.col("share") >= CERTAIN).select("a", "b"))
-    crowd = crowd.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")).repartition("band")
-    split = crowd.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    crowd = crowd.join(split, "band")
-    pairs = crowd.join(crowd.toDF("band", "other", "their"), "band").where("node < other and label <> their")
-    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    both = stage(first.union(likely(pairs, signed)), "likely")
+    named = crowd.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    both = stage(first.union(likely(crossed(named).join(star, ["a", "b"], "left_anti"), signed)), "likely")
+    discard(every, crowd, first, label)
     good = stage(verified(both.select("a", "b"), texts), "links")
-    return good.where(F.col("similarity") >= threshold).select("a", "b")
+    discard(both)
+    return good.where(F.col("similarity") >= threshold).select("a", "b"), mixed
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, label, copies): the near-duplicate group of every row of `docs`.
+    """(doc_id, node, check, label): the near-duplicate group of every row of `docs`.
 
-    Texts that are equal are one node. A null, empty or wordless text is in no group: its label is null. Repeated rows
-    are copies of each other. An empty table gives an empty table.
+    Texts that are equal are one node. A null, empty or wordless text is in no group: its label is null. Of different texts
+    of one node, which need equal hashes, only that of the least check is compared; the others are in no group. Repeated
+    rows are copies of each other. Texts of any length are looked at as a whole. An empty table gives an empty table.
     """
-    label = components(links(docs, threshold))
+    pairs, mixed = links(docs, threshold)
+    label = components(pairs)
     wordy = F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
-    rows = docs.select("doc_id", node_of(F.col("text")).alias("node"), wordy.alias("wordy"))
-    rows = rows.join(label, "node", "left")
-    return rows.select("doc_id", "node", F.when(F.col("wordy"), F.coalesce("label", "node")).alias("label"))
+    rows = docs.select("doc_id", node_of(F.col("text")).alias("node"), check_of(F.col("text")).alias("check"), wordy.alias("wordy"))
+    rows = rows.join(label, "node", "left").join(mixed, "node", "left")
+    alone = ~F.col("wordy") | (F.col("least").isNotNull() & (F.col("least") != F.col("check")))
+    return rows.select("doc_id", "node", "check", F.when(~alone, F.coalesce("label", "node")).alias("label"))
 
 
 def marked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id, copies, keep, node): one row a row of `docs`.
+    """(doc_id, group_id, copies, keep, node, check): one row a row of `docs`.
 
     `group_id` is the least doc_id of the group and `copies` its number of rows. One row of each group is kept, the
     one of the least doc_id (nulls last), then of the least node; of rows equal in both, any one. Rows in no
-    group (null or wordless texts) are kept, with copies 1.
+    group (see `groups`) are kept, with copies 1.
     """
     rows = stage(groups(docs, threshold), "groups")
     top = F.lit((1 << 63) - 1)
@@ -231,6 +257,7 @@ def marked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.coalesce("copies", F.lit(1).cast(T.LongType())).alias("copies"),
         (F.col("label").isNull() | (same & (F.col("turn") == 1))).alias("keep"),
         "node",
+        "check",
     )
 
 
@@ -239,13 +266,13 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Works for nulls in any column, repeated rows, wordless texts and further columns of any name.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), node_of(F.col("text")).alias("node"))
-    gone = marked(docs, threshold).where(~F.col("keep")).groupBy(F.col("doc_id").alias("gone_doc"), F.col("node").alias("gone_node")).agg(F.count(F.lit(1)).alias("gone"))
-    both = rows.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("node") == F.col("gone_node")), "left")
-    turn = F.row_number().over(Window.partitionBy("doc", "node").orderBy(F.lit(0)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"), node_of(F.col("text")).alias("node"), check_of(F.col("text")).alias("check"))
+    gone = marked(docs, threshold).where(~F.col("keep")).groupBy(F.col("doc_id").alias("gone_doc"), F.col("node").alias("gone_node"), F.col("check").alias("gone_check")).agg(F.count(F.lit(1)).alias("gone"))
+    both = rows.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("node") == F.col("gone_node")) & (F.col("check") == F.col("gone_check")), "left")
+    turn = F.row_number().over(Window.partitionBy("doc", "node", "check").orderBy(F.lit(0)))
     return both.withColumn("turn", turn).where(F.col("turn") > F.coalesce("gone", F.lit(0))).select("row.*")
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with its near-duplicate group, the group's size, and whether the row stays."""
-    return marked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return marked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node", "check")
