@@ -14,7 +14,7 @@ from lexigrid.llm.curvepack import pack
 from lexigrid.llm.linechunks import line_dedup
 from lexigrid.llm.neardup import near_dedup
 from lexigrid.llm.quality import quality_filter
-from lexigrid.llm.scratch import stage
+from lexigrid.llm.scratch import discard, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that occur earlier in the corpus."""
-    return line_dedup(docs)
+    """Documents without the runs of lines that occur earlier in the corpus. Those that are copies of another as a whole are left
+    to the next stage: without what they share with it, they couldn't be told for its copies."""
+    return line_dedup(docs, copies=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("packing", packing)]
 
-#: SQL can express neither the fitted rules nor the signatures; tests hold each stage against a brute-force version.
+#: SQL can express neither the fitted rules nor the signatures; a test holds the rows of each stage against a plain version.
 ORACLE_SQL = None
 
 
@@ -52,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed corpus of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
     return docs
