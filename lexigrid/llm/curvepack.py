@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scratch import reachable, stage
@@ -24,6 +24,8 @@ from .text import SOLID, U, Words, buffers, slices, spans
 DIMS, DEPTH = 4, 12
 #: Tokens of a sequence.
 LENGTH = 2048
+#: Bytes of text that a task sorts, about, the most such tasks, and documents sampled for each to find where its range ends.
+PART_BYTES, MOST_PARTS, SAMPLES = 64 << 20, 50_000, 20
 
 
 def hilbert(points: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -62,18 +64,52 @@ def places(words: Words, dims: int = DIMS, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
-def _curve(texts: pa.Array) -> pa.Array:
+def _sizes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Curve key and number of tokens of each text."""
     keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in slices(texts):
         part = texts.slice(lo, hi - lo)
         keys.append(hilbert(places(Words(part))))
         raw, offsets = buffers(part)
         sizes.append(np.bincount(spans(raw, offsets, SOLID)[2], minlength=hi - lo).astype(np.int64))
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], names=["key", "n"])
+    return np.concatenate(keys), np.concatenate(sizes)
 
 
-_curve = _curve.asNondeterministic()  # so that it is evaluated once, though a filter looks at its result
+def _keyed(edges: np.ndarray, ids: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) -> (doc_id, text, key, n, part) of rows that have tokens; part is the range of (key, doc_id) between edges."""
+        for batch in batches:
+            key, n = _sizes(batch.column(1))
+            doc = pa.compute.fill_null(batch.column(0), np.iinfo(np.int64).min).to_numpy()
+            part = np.searchsorted(edges, key, side="left")
+            after = np.searchsorted(edges, key, side="right")
+            for value in np.unique(key[after > part]):
+                at = np.flatnonzero(key == value)
+                first, last = np.searchsorted(edges, value, side="left"), np.searchsorted(edges, value, side="right")
+                part[at] = first + np.searchsorted(ids[first:last], doc[at], side="right")
+            some = pa.array(np.flatnonzero(n > 0))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(key), pa.array(n), pa.array(part.astype(np.int32))], names=["doc_id", "text", "key", "n", "part"]).take(some)
+
+    return run
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array(_sizes(batch.column(1))[0])], names=["doc_id", "key"])
+
+
+def ranges(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (keys, and doc_ids among equal keys) of ranges of about `part_bytes` of text, from a sample of documents by hash.
+    They decide which task sorts what; the order of documents, and so the result, is the same for any edges."""
+    total, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    parts = min(MOST_PARTS, max(docs.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // part_bytes)))
+    share = max(1, rows // (SAMPLES * parts))
+    some = docs.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0) & F.col("text").isNotNull()).select("doc_id", "text")
+    found = some.mapInArrow(_sampled, "doc_id long, key long").toArrow()
+    key, doc = found.column("key").to_numpy(), pa.compute.fill_null(found.column("doc_id"), np.iinfo(np.int64).min).to_numpy()
+    order = np.lexsort((doc, key))
+    at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+    return key[at], doc[at]
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,15 +157,16 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Documents are in the order of curve key, doc_id (nulls first) and a hash of the text. Every sequence but the last has
     `length` tokens. Null and blank texts have nothing to pack and are left out; repeated rows are packed as often as they
-    occur. Columns beside doc_id and text aren't looked at.
+    occur. Columns beside doc_id and text aren't looked at. Texts of any length are packed whole; an empty table packs to none.
     """
-    rows = reachable(docs).select("doc_id", "text", _curve("text").alias("at")).select("doc_id", "text", F.col("at.key").alias("key"), F.col("at.n").alias("n")).where("n > 0")
-    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = stage(ranged.mapInArrow(_running, "doc_id long, text string, key long, n long, part int, start long"), "curve")
+    some = reachable(docs).select("doc_id", "text")
+    edges = ranges(some)
+    rows = some.where("text is not null").mapInArrow(_keyed(*edges), "doc_id long, text string, key long, n long, part int")
+    ranged = rows.repartitionById(len(edges[0]) + 1, "part").sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = stage(ranged.select("doc_id", "text", "key", "n").mapInArrow(_running, "doc_id long, text string, key long, n long, part int, start long"), "curve")
     parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))
     ahead = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    placed = ranged.join(F.broadcast(ahead), "part")  # a row a partition
+    placed = ranged.join(F.broadcast(ahead), "part")  # a row a partition, of which there are MOST_PARTS at most
     return placed.select("doc_id", "text", "key", "n", (F.col("ahead") + F.col("start")).alias("start")).mapInArrow(
         _cut(length), "sequence long, sequence_start int, doc_id long, doc_start long, n_tokens int, curve_key long, text string"
     )
