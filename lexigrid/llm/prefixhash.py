@@ -7,12 +7,13 @@ comparison, and the longest common extension of two places is found by binary se
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import reachable, stage
 from .text import U, buffers, mix, slices
@@ -94,17 +95,51 @@ class Passages:
         value = self.prefixes.spans(start, start + SEED)
         order = np.argsort(value, kind="stable")
         self.value, self.start = value[order], start[order]
+        size = np.diff(self.offsets)
+        #: Passages shorter than SEED by the largest power of two that isn't longer: sorted hashes of their beginnings, and which.
+        self.short = []
+        for width in (32, 16, 8, 4, 2, 1):
+            which = np.flatnonzero((size >= width) & (size < min(2 * width, SEED)))
+            if len(which):
+                value = self.prefixes.spans(self.offsets[which], self.offsets[which] + width)
+                order = np.argsort(value, kind="stable")
+                self.short.append((width, value[order], which[order]))
         self.bits = max(16, int(4 * max(1, len(start))).bit_length())
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(mix(self.value) >> U(64 - self.bits)).astype(np.int64)] = True
 
     def shared(self, raw: np.ndarray, offsets: np.ndarray, prefixes: Prefixes) -> dict[str, np.ndarray]:
-        """All spans of SEED bytes or more that texts share with passages and that can't be extended to either side: `row`,
-        `item`, `doc_start`, `item_start`, `size`; by row, the longest first, of equally long ones that of the least id, then
-        the first in the text and in the passage."""
+        """All spans of SEED bytes or more that texts share with passages and that can't be extended to either side, and all
+        occurrences of passages shorter than that: `row`, `item`, `doc_start`, `item_start`, `size`; by row, the longest first, of
+        equally long ones that of the least id, then the first in the text and in the passage."""
+        found = np.concatenate([self._long(raw, offsets, prefixes), *self._short(offsets, prefixes)])
+        found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], -found[:, 4], found[:, 0]))]
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = (found[1:] != found[:-1]).any(1)  # a passage may be given twice
+        return dict(zip(("row", *SPAN), found[fresh].T))
+
+    def _short(self, offsets: np.ndarray, prefixes: Prefixes) -> Iterator[np.ndarray]:
+        """Occurrences of the passages that are shorter than SEED."""
+        for width, value, which in self.short:
+            start = np.arange(max(0, prefixes.size - width + 1))
+            here = prefixes.spans(start, start + width)
+            lo = np.searchsorted(value, here, side="left")
+            count = np.searchsorted(value, here, side="right") - lo
+            at = np.repeat(start, count)
+            item = which[np.repeat(lo, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)]
+            row = np.searchsorted(offsets, at, side="right") - 1
+            size = self.offsets[item + 1] - self.offsets[item]
+            inside = at + size <= offsets[row + 1]
+            at, item, row, size = at[inside], item[inside], row[inside], size[inside]
+            same = equal(prefixes, at, self.prefixes, self.offsets[item], size)
+            at, item, row, size = at[same], item[same], row[same], size[same]
+            yield np.stack([row, self.ids[item], at - offsets[row], np.zeros(len(at), np.int64), size], 1)
+
+    def _long(self, raw: np.ndarray, offsets: np.ndarray, prefixes: Prefixes) -> np.ndarray:
+        """Rows (row, item, doc_start, item_start, size) of the maximal spans of SEED bytes or more."""
         start = np.arange(max(0, len(raw) - SEED + 1))
         if not len(start) or not len(self.value):
-            return {k: np.zeros(0, np.int64) for k in ("row", *SPAN)}
+            return np.zeros((0, 5), np.int64)
         value = prefixes.spans(start, start + SEED)
         start = start[self.filter[(mix(value) >> U(64 - self.bits)).astype(np.int64)]]
         row = np.searchsorted(offsets, start, side="right") - 1
@@ -121,31 +156,27 @@ class Passages:
         fresh = (i == offsets[row]) | (j == self.offsets[item]) | (raw[i - 1] != self.raw[j - 1])
         i, j, row, item = i[fresh], j[fresh], row[fresh], item[fresh]
         size = extend(prefixes, i, self.prefixes, j, np.minimum(offsets[row + 1] - i, self.offsets[item + 1] - j))
-        found = np.stack([row, self.ids[item], i - offsets[row], j - self.offsets[item], size], 1)[size >= SEED]
-        found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 1], -found[:, 4], found[:, 0]))]
-        fresh = np.ones(len(found), bool)
-        fresh[1:] = (found[1:] != found[:-1]).any(1)  # a passage may be given twice
-        return dict(zip(("row", *SPAN), found[fresh].T))
+        return np.stack([row, self.ids[item], i - offsets[row], j - self.offsets[item], size], 1)[size >= SEED]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("item_id", "doc_start", "item_start", "span_bytes")]))
-FOUND = T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", SPANS)])
+FOUND = f"doc_id long, digest string, fingerprint long, n_bytes long, spans {SPANS.simpleString()}"
 
 
 def _scan(sent):
-    @F.arrow_udf(FOUND)
-    def scan(texts: pa.Array) -> pa.Array:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, digest, text) -> FOUND; passages are hashed once a task."""
         passages = Passages(*sent.value)
-        parts = []
-        for lo, hi in slices(texts, 1 << 21):
-            raw, offsets = buffers(texts.slice(lo, hi - lo))
-            prefixes = Prefixes(raw)
-            whole = prefixes.spans(offsets[:-1], offsets[1:]).astype(np.int64)
-            found = passages.shared(raw, offsets, prefixes)
-            spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[k])) for k in SPAN], names=SPANS.elementType.names)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(found["row"], np.arange(hi - lo + 1)).astype(np.int32)), spans)
-            parts.append(pa.StructArray.from_arrays([pa.array(whole), pa.array(np.diff(offsets)), lists], names=FOUND.names))
-        return pa.concat_arrays(parts) if parts else pa.array([], to_arrow_type(FOUND))
+        for batch in batches:
+            for lo, hi in slices(batch.column(2), 1 << 21):
+                part = batch.slice(lo, hi - lo)
+                raw, offsets = buffers(part.column(2))
+                prefixes = Prefixes(raw)
+                whole = prefixes.spans(offsets[:-1], offsets[1:]).astype(np.int64)
+                found = passages.shared(raw, offsets, prefixes)
+                spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[k])) for k in SPAN], names=SPANS.elementType.names)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(found["row"], np.arange(hi - lo + 1)).astype(np.int32)), spans)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(whole), pa.array(np.diff(offsets)), lists], names=["doc_id", "digest", "fingerprint", "n_bytes", "spans"])
 
     return scan
 
@@ -156,28 +187,30 @@ def fingerprints(docs: DataFrame, passages: DataFrame) -> DataFrame:
     null without a span of SEED bytes), and `spans`: all of them of SEED bytes or more, with every passage and at every place,
     that can't be extended to either side, in that order (longest first, then by item_id, doc_start and item_start).
 
-    A null or empty text has no fingerprint and is no copy. Repeated rows are copies of each other. Passages that are null or shorter than SEED
-    match nothing. More passages than PASSAGE_BYTES are taken in several passes over `docs`.
+    Copies agree in a 128-bit digest of their bytes beside the fingerprint, whose base is public. A passage shorter than SEED is found
+    wherever it stands as a whole. A null or empty text has no fingerprint and is no copy, texts of any length are scanned whole,
+    repeated rows are copies of each other, and an empty table gives an empty table. Null and empty passages match nothing. More
+    passages than PASSAGE_BYTES are taken in several passes over `docs`.
     """
     spark = reachable(docs).sparkSession
-    items = passages.where(F.col("item_id").isNotNull() & (F.octet_length("text") >= SEED)).select("item_id", "text")
+    items = passages.where(F.col("item_id").isNotNull() & (F.octet_length("text") > 0)).select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // PASSAGE_BYTES))
-    every = None
+    rows, every = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text"), None
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow()
         sent = spark.sparkContext.broadcast((some.column("item_id").to_numpy().astype(np.int64), some.column("text").combine_chunks() if some.num_rows else pa.array([], pa.string())))
-        found = docs.select("doc_id", F.xxhash64("text").alias("node"), _scan(sent)("text").alias("found"))
+        found = rows.mapInArrow(_scan(sent), FOUND)
         every = found if every is None else every.union(found)
-    flat = every.select("doc_id", "node", "found.*")
+    flat = every
     if passes > 1:  # a row has one result a pass: repeated rows agree in all, and are counted
-        flat = flat.groupBy("doc_id", "node", "fingerprint", "n_bytes").agg(F.collect_set("spans").alias("spans"), (F.count(F.lit(1)) / passes).cast("int").alias("times"))
+        flat = flat.groupBy("doc_id", "digest", "fingerprint", "n_bytes").agg(F.collect_set("spans").alias("spans"), (F.count(F.lit(1)) / passes).cast("int").alias("times"))
         turned = F.transform(F.flatten("spans"), lambda s: F.struct(-s["span_bytes"], s["item_id"], s["doc_start"], s["item_start"])).cast("array<struct<less:long,item_id:long,doc_start:long,item_start:long>>")
         spans = F.transform(F.array_sort(F.array_distinct(turned)), lambda s: F.struct(s["item_id"], s["doc_start"], s["item_start"], -s["less"])).cast(SPANS)
-        flat = flat.select("doc_id", "fingerprint", "n_bytes", spans.alias("spans"), F.explode(F.sequence(F.lit(1), "times"))).drop("col")
-    flat = stage(flat.select("doc_id", "fingerprint", "n_bytes", "spans"), "fingerprints")
-    least = flat.where("n_bytes > 0").groupBy("fingerprint", "n_bytes").agg(F.min("doc_id").alias("copy_of"))
-    both = flat.join(least, ["fingerprint", "n_bytes"], "left")
+        flat = flat.select("doc_id", "digest", "fingerprint", "n_bytes", spans.alias("spans"), F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    flat = stage(flat.select("doc_id", "digest", "fingerprint", "n_bytes", "spans"), "fingerprints")
+    least = flat.where("n_bytes > 0").groupBy("fingerprint", "n_bytes", "digest").agg(F.min("doc_id").alias("copy_of"))
+    both = flat.join(least, ["fingerprint", "n_bytes", "digest"], "left")
     longest = F.get("spans", F.lit(0))
     return both.select(
         "doc_id", F.when(F.col("n_bytes") > 0, F.col("fingerprint")).alias("fingerprint"), "n_bytes", "copy_of",
