@@ -3,7 +3,8 @@
 Every task writes the payloads of its rows to tar files in the shared folder as it scans them, so that payloads aren't
 shuffled; what occurs again elsewhere is found by digest before and written once. Payloads of text kinds are stored
 deflated, which a reader can begin to inflate from the first bytes. Rows keep digest, shard, offset and length, and a
-second pass reads the first `HEADER_BYTES` of each payload at its place to fill metadata columns.
+second pass reads the first `HEADER_BYTES` of each payload at its place, and further small ranges only where its header goes on
+elsewhere, to fill metadata columns.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
@@ -32,37 +33,60 @@ PLACE = "digest string, shard string, offset long, length long, encoding string,
 META = "mime string, width int, height int, channels int, sample_rate int, seconds double, charset string, language string, title string"
 
 
-def header(data: bytes, length: int) -> dict:
-    """Metadata from the first bytes of a payload of `length` bytes: PNG, GIF, JPEG, BMP, WAV, NPY, PDF, HTML or other text."""
+Ranges = Callable[[int, int], bytes]
+
+
+def header(data: bytes, length: int, more: Ranges | None = None) -> dict:
+    """Metadata of a payload of `length` bytes: PNG, GIF, JPEG, BMP, WAV, NPY, PDF, HTML or other text.
+
+    `data` are its first bytes, and `more(offset, size)` reads a range of it, for the segments of a JPEG and for an HTML head
+    that go beyond; without it what isn't in `data` is null. A header that can't be read gives its mime type alone.
+    """
+    try:
+        return _header(data, length, more or (lambda at, size: data[at : at + size]))
+    except (ValueError, struct.error, IndexError, OverflowError):
+        return {"mime": _header(data[:12].ljust(12, b"\0"), 12, lambda at, size: b"")["mime"]}
+
+
+def _header(data: bytes, length: int, more: Ranges) -> dict:
     out: dict = {"mime": "application/octet-stream"}
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26:
         w, h, _, color = struct.unpack(">IIBB", data[16:26])
-        out = {"mime": "image/png", "width": w, "height": h, "channels": {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)}
+        out = {"mime": "image/png", "width": w if w < 1 << 31 else None, "height": h if h < 1 << 31 else None, "channels": {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)}
     elif data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
         w, h = struct.unpack("<HH", data[6:10])
         out = {"mime": "image/gif", "width": w, "height": h, "channels": 1}
     elif data[:2] == b"BM" and len(data) >= 30:
         w, h, _, bits = struct.unpack("<iiHH", data[18:30])
-        out = {"mime": "image/bmp", "width": w, "height": abs(h), "channels": max(1, bits // 8)}
+        out = {"mime": "image/bmp", "width": w, "height": min(abs(h), (1 << 31) - 1), "channels": max(1, bits // 8)}
     elif data[:3] == b"\xff\xd8\xff":
         out, at = {"mime": "image/jpeg"}, 2
-        while at + 9 < len(data) and data[at] == 0xFF:
-            kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        while len(part := data[at : at + 10] if at + 10 <= len(data) else more(at, 10)) >= 4 and part[0] == 0xFF:
+            kind, size = part[1], struct.unpack(">H", part[2:4])[0]
+            if kind == 0xFF:  # a fill byte
+                at += 1
+                continue
             if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                out |= {"width": w, "height": h, "channels": data[at + 9]}
+                if len(part) == 10:
+                    h, w = struct.unpack(">HH", part[5:9])
+                    out |= {"width": w, "height": h, "channels": part[9]}
+                break
+            if kind == 0xDA or size < 2:
                 break
             at += 2 + size
     elif data[:4] == b"RIFF" and data[8:12] == b"WAVE" and len(data) >= 36:
         channels, rate, per_second = struct.unpack("<HII", data[22:32])
-        out = {"mime": "audio/wav", "channels": channels, "sample_rate": rate, "seconds": max(length - 44, 0) / per_second if per_second else None}
+        out = {"mime": "audio/wav", "channels": channels, "sample_rate": rate if rate < 1 << 31 else None, "seconds": max(length - 44, 0) / per_second if per_second else None}
     elif data[:6] == b"\x93NUMPY":
         shape = re.search(rb"'shape':\s*\(([^)]*)\)", data)
-        sizes = [int(x) for x in shape[1].split(b",") if x.strip()] if shape else []
+        sizes = [int(x.strip().rstrip(b"L")) for x in shape[1].split(b",") if x.strip()] if shape else []
+        sizes = [x if 0 <= x < 1 << 31 else None for x in sizes]
         out = {"mime": "application/x-npy", "height": sizes[0] if sizes else None, "width": sizes[1] if len(sizes) > 1 else None}
     elif data[:5] == b"%PDF-":
         out = {"mime": "application/pdf"}
     elif re.match(rb"\s*(<!doctype html|<html)", data, re.I):
+        while not re.search(rb"</head|<body", data, re.I) and (rest := more(len(data), max(HEADER_BYTES, len(data)))):
+            data += rest
         find = lambda p: (m := re.search(p, data, re.I | re.S)) and m[1].decode("utf-8", "replace")
         out = {"mime": "text/html", "charset": find(rb"<meta[^>]*charset=[\"']?([\w-]+)"), "language": find(rb"<html[^>]*\blang=[\"']?([\w-]+)"), "title": find(rb"<title[^>]*>(.*?)</title>")}
     elif data and b"\0" not in data:
@@ -160,8 +184,27 @@ def read(folder: str, shard: str, offset: int, length: int, encoding: str) -> by
     return zlib.decompress(data) if encoding == "deflate" else data
 
 
+def _plain(file, place: dict) -> Ranges:
+    return lambda at, size: file.read_at(max(0, min(size, place["length"] - at)), place["offset"] + at)
+
+
+def _inflated(file, place: dict) -> Ranges:
+    """Ranges of a deflated payload, of which no more is read than they need."""
+    inflate, have, read = zlib.decompressobj(), bytearray(), 0
+
+    def more(at: int, size: int) -> bytes:
+        nonlocal read
+        while len(have) < at + size and read < place["length"]:
+            data = file.read_at(min(HEADER_BYTES, place["length"] - read), place["offset"] + read)
+            read += len(data)
+            have.extend(inflate.decompress(data))
+        return bytes(have[at : at + size])
+
+    return more
+
+
 def with_metadata(places: DataFrame, folder: str) -> DataFrame:
-    """(row, place, meta): `meta` is a struct of META from the first HEADER_BYTES of each payload, read at its place; null without one."""
+    """(row, place, meta): `meta` is a struct of META from the header of each payload, read at its place; null without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
@@ -177,9 +220,8 @@ def with_metadata(places: DataFrame, folder: str) -> DataFrame:
                         file.close()
                     name, file = place["shard"], fs.open_input_file(f"{root}/{place['shard']}")
                 if last != (name, place["offset"]):
-                    data = file.read_at(min(place["length"], HEADER_BYTES), place["offset"])
-                    data = zlib.decompressobj().decompress(data) if place["encoding"] == "deflate" else data
-                    last, meta = (name, place["offset"]), header(data, place["raw_length"])
+                    more = _inflated(file, place) if place["encoding"] == "deflate" else _plain(file, place)
+                    last, meta = (name, place["offset"]), header(more(0, HEADER_BYTES), place["raw_length"], more)
                 out.append(meta)
             kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
             kind = pa.struct([(c.split()[0], kinds[c.split()[1]]) for c in META.split(", ")])
@@ -195,7 +237,8 @@ def with_metadata(places: DataFrame, folder: str) -> DataFrame:
 def media_columns(table: DataFrame, payload: str, key: str, folder: str | None = None) -> DataFrame:
     """`table` with the column `payload` replaced by its place in `folder` (PLACE) and its metadata (META); a column of `table` whose name is among these stays, and the new one gets a trailing underscore.
 
-    Repeated rows and an empty table are allowed, as are null and empty payloads (see `stored`).
+    Repeated rows and an empty table are allowed, as are null and empty payloads (see `stored`). Payloads of any length are stored
+    whole, each within the memory of one task; headers that are broken give a mime type and nulls.
     """
     folder = folder or fresh(table.sparkSession, "media")
     rows = with_metadata(stored(table, payload, key, folder), folder)
