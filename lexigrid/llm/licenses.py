@@ -17,6 +17,8 @@ from .scratch import reachable
 from .text import U, Words, mix, slices
 
 GRAM, WINNOW = 3, 4
+#: Templates of fewer words have all their runs in the index.
+SHORT = 2 * (GRAM + WINNOW)
 #: Words that may be inserted or left out before the alignment leaves its band.
 BAND = 6
 #: Share of a template's words that a reported match covers.
@@ -31,7 +33,7 @@ TEMPLATES = {
         "See the License for the specific language governing permissions and limitations under the License."
     ),
     "MIT-notice": "Released under the MIT License.",
-    "MIT": (
+    "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
@@ -42,11 +44,11 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
-    "BSD": (
+    "BSD-conditions": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
-    "ISC": (
+    "ISC-grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
@@ -60,6 +62,36 @@ TEMPLATES = {
 }
 
 
+_AS_IS = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution."
+)
+#: Whole licenses beside the notices and grants above.
+TEMPLATES |= {
+    "MIT": TEMPLATES["MIT-grant"]
+    + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": _CONDITIONS + _AS_IS,
+    "BSD-3-Clause": _CONDITIONS
+    + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission." + _AS_IS,
+    "ISC": TEMPLATES["ISC-grant"]
+    + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+    "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+}
+
+
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(word position, hash) of every run of GRAM words that lies in one row."""
     h, n = words.hash, len(words.hash) - GRAM + 1
@@ -81,6 +113,9 @@ class Index:
         found: set[tuple[int, int, int]] = set()
         for t, words in enumerate(self.words):
             at, value = grams(words)
+            if len(words.hash) < SHORT:  # a change of any one word leaves other runs
+                found |= {(int(v), t, int(p)) for v, p in zip(value, at)}
+                continue
             for i in range(max(1, len(value) - WINNOW + 1) if len(value) else 0):
                 k = i + int(np.argmin(value[i : i + WINNOW]))
                 found.add((int(value[k]), t, int(at[k])))
@@ -135,6 +170,7 @@ def matches(texts: pa.Array, index: Index, coverage: float = COVERAGE) -> list[t
     shift = place - index.place[entry]
     order = np.lexsort((place, template, row))
     found: list[tuple] = []
+    begin = stop = None
     now, over, tried = (-1, -1), 0, None
     for r, t, p, s in zip(row[order].tolist(), template[order].tolist(), place[order].tolist(), shift[order].tolist()):
         if (r, t) != now:
@@ -148,15 +184,17 @@ def matches(texts: pa.Array, index: Index, coverage: float = COVERAGE) -> list[t
         tried = s
         if n >= coverage * len(want):
             first, over, tried = first + lo, end + lo, None
-            found.append((r, t, n, first, over, int(words.start[base[r] + first] - words.offsets[r]), int(words.end[base[r] + over - 1] - words.offsets[r])))
+            begin, stop = words.places() if begin is None else (begin, stop)
+            found.append((r, t, n, first, over, int(begin[base[r] + first]), int(stop[base[r] + over - 1])))
     return sorted(found, key=lambda m: (m[0], m[3], m[1]))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, word_start, word_end, byte_start, byte_end): a row for each match of a template.
 
-    Bytes are of the lower-cased text in UTF-8. Null and empty texts match nothing, repeated rows each match, and columns
-    beside doc_id and text aren't looked at. The templates are a fixed list, and go to the tasks.
+    Bytes are of the text in UTF-8 as it is. Null and empty texts match nothing, repeated rows each match, texts of any length are
+    scanned whole, and columns beside doc_id and text aren't looked at; an empty table gives an empty table. Of matches of one
+    template that overlap, the first stays. The templates are a fixed list, and go to the tasks.
     """
     texts = dict(templates or TEMPLATES)
 

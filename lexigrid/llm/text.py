@@ -97,12 +97,19 @@ class Words:
     """Words of a slice of texts: `start`, `end` (bytes), `row`, `hash`, and `count` by row."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
+        self.texts = texts
         self.raw, self.offsets = buffers(pc.utf8_lower(texts) if lower else texts)
         self.rows = len(self.offsets) - 1
         self.start, self.end, self.row = spans(self.raw, self.offsets)
         self.hash = span_hashes(self.raw, self.start, self.end)
         self.count = np.bincount(self.row, minlength=self.rows).astype(np.int64)
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Byte start and end of every word within its text as it was given; lower case has as many words, of other lengths maybe."""
+        raw, offsets = buffers(self.texts)
+        start, end, row = spans(raw, offsets)
+        return start - offsets[row], end - offsets[row]
+
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Row and hash of each run of n words; a row of fewer words has one shingle of them all."""
         short = self.count < n
