@@ -1,6 +1,6 @@
 """Token-id matrices: best-fit-decreasing packing of tokenised documents into sequences of equal length.
 
-Documents go to shards by a hash of doc_id; a shard is tokenised and packed by one task. Texts are cut where the pre-tokens
+Documents go to shards by a hash of doc_id and text; a shard is tokenised and packed by one task. Texts are cut where the pre-tokens
 of byte-level BPE certainly end (at a single blank or newline between other characters), every distinct cut is encoded
 once in a batch, and equality of bytes, not only of hashes, is checked before ids are reused.
 """
@@ -8,6 +8,7 @@ once in a batch, and equality of bytes, not only of hashes, is checked before id
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import reachable
+from .scratch import fresh, reachable
 from .text import buffers, slices, span_hashes
 
 #: Ranks of a byte-level BPE of fewer than 65536 ids, and the pattern that goes with it.
@@ -27,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LENGTH, PAD = 2048, 50256
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 24 << 20
+#: Tasks that shards are spread over at most.
+MOST_PARTS = 50_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -237,14 +240,66 @@ def packed_ids(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, sh
     of the document that it starts with.
 
     Documents longer than `length` are cut into pieces, none of which is lost. Null and empty texts have no tokens and are
-    in no sequence; repeated rows are packed as often as they occur; other columns aren't looked at. Within a shard,
+    in no sequence; repeated rows are packed as often as they occur; other columns aren't looked at; an empty table packs to
+    none. Within a shard,
     documents go by doc_id (nulls first) and a hash of the text, so that ties are resolved alike in each run.
     """
+    return _sharded(docs, shard_bytes).mapInArrow(_packed(path, length), COLUMNS)
+
+
+def _sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """(shard, doc_id, text) with whole shards in each partition, one after another. Rows without a doc_id are spread by their texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    rows = reachable(docs).where(F.octet_length("text") > 0).select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
-    rows = rows.repartitionById(int(shards), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return rows.mapInArrow(_packed(path, length), COLUMNS)
+    each = -(-shards // MOST_PARTS)
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(shards)).cast("int")
+    rows = reachable(docs).where(F.octet_length("text") > 0).select(shard.alias("shard"), "doc_id", "text")
+    rows = rows.repartitionById(int(-(-shards // each)), (F.col("shard") / each).cast("int"))
+    return rows.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+
+
+FILES = COLUMNS.replace("ids binary", "file string, offset long")
+
+
+def written_ids(docs: DataFrame, folder: str, path: str = VOCABULARY, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """As `packed_ids`, with the ids in files below the URI `folder`: `file` and the byte `offset` of the sequence in it take
+    the place of `ids`.
+
+    Each shard has `NAME.ids` (a row-major uint16 matrix), and for its sequences in order `NAME.lens` (int32, their
+    cumulative segment lengths, each sequence from 0 to its number of tokens), and `NAME.resets` (int32, the places in the
+    row-major matrix where positions start at 0 again). Names hold a fresh id, so that a task that is run again never touches
+    what another has written; rows name the files of the one that counts.
+    """
+    pack = _packed(path, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        shard, name, out, at = None, "", [], 0
+        try:
+            for batch in pack(batches):
+                if batch.column(0)[0].as_py() != shard:
+                    for f in out:
+                        f.close()
+                    shard, at = batch.column(0)[0].as_py(), 0
+                    name = f"shard-{shard:07d}-{uuid.uuid4().hex[:12]}"
+                    out = [fs.open_output_stream(f"{root}/{name}.{kind}") for kind in ("ids", "lens", "resets")]
+                n, lists = len(batch), batch.column(5)
+                cells = np.frombuffer(batch.column(2).buffers()[2], np.uint8)
+                begin = at // (2 * length) + np.arange(n)
+                out[0].write(cells[: 2 * length * n].tobytes())
+                out[1].write(batch.column(4).values.to_numpy().astype("<i4").tobytes())
+                owner = np.repeat(begin, np.diff(lists.offsets.to_numpy()))
+                out[2].write((lists.values.to_numpy() + owner * length).astype("<i4").tobytes())
+                where = pa.array(at + 2 * length * np.arange(n, dtype=np.int64))
+                at += 2 * length * n
+                columns = [*batch.columns[:2], pa.array([f"{name}.ids"] * n), where, *batch.columns[3:]]
+                yield pa.record_batch(columns, names=[c.split()[0] for c in FILES.split(", ")])
+        finally:
+            for f in out:
+                f.close()
+
+    return _sharded(docs, shard_bytes).mapInArrow(run, FILES)
 
 
 def unpacked(rows: list, path: str = VOCABULARY) -> dict:
@@ -258,25 +313,15 @@ def unpacked(rows: list, path: str = VOCABULARY) -> dict:
     return {doc: enc.decode(np.concatenate([x for _, x in sorted(p, key=lambda q: q[0])]).tolist()) for doc, p in pieces.items()}
 
 
-def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard as `shard-N.bin` (a row-major uint16 matrix, sequences in order) below the URI `folder`; gives (shard, file, sequences, bytes).
-
-    A file is written under another name and then moved, so that a task that is run again does no harm.
-    """
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        name, part = f"{root}/shard-{key[0].as_py():06d}.bin", f"{root}/.{key[0].as_py()}-{np.random.default_rng().integers(1 << 62)}"
-        data = b"".join(table.sort_by("sequence").column("ids").to_pylist())
-        with fs.open_output_stream(part) as out:
-            out.write(data)
-        fs.move(part, name)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "file": [name], "sequences": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
-
-    return packed.groupBy("shard").applyInArrow(run, "shard int, file string, sequences long, bytes long")
+def read_ids(folder: str, file: str, offset: int, length: int = LENGTH) -> bytes:
+    """The ids of one sequence of `written_ids`."""
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{root}/{file}") as f:
+        return f.read_at(2 * length, offset)
 
 
 def op7_token_ids(spark, sf_dir: str) -> DataFrame:
-    """All documents as packed matrices of token ids."""
-    return packed_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents as packed matrices of token ids in files of the shared folder, with what the sequences are made of."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = fresh(spark, "token-ids")
+    return written_ids(docs, folder).withColumn("file", F.concat(F.lit(folder + "/"), "file"))
