@@ -16,10 +16,10 @@ from .scratch import stage
 
 #: Training tokens by default, as a multiple of the tokens there are.
 BUDGET = 1.0
-#: Hash ranges by which a source's running sum is split, so that no task has a whole source.
-RANGES = 4096
-#: Weights are parts of this.
-UNIT = 1_000_000
+#: Documents of a hash range, about, by which a source's running sum is split, so that no task has a whole source.
+RANGE_ROWS = 100_000
+#: Bytes of text of a range of positions, about, which a task sorts, and the most such ranges.
+PART_BYTES, MOST_PARTS = 64 << 20, 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -34,10 +34,9 @@ def shuffled(doc: Column) -> Column:
 
 def default_schedule(supply: DataFrame) -> DataFrame:
     """(source, knot, weight): from each source's share of the tokens at the start to the share of their square root at the end."""
-    root = F.floor(F.sqrt(F.col("supply").cast("double")))
-    all_ = Window.partitionBy()
-    parts = supply.select("source", "supply", root.alias("root")).select("source", F.floor(F.lit(UNIT) * F.col("supply") / F.sum("supply").over(all_)).alias("w0"), F.floor(F.lit(UNIT) * F.col("root") / F.sum("root").over(all_)).alias("w1"))
-    return parts.select("source", F.inline(F.array(F.struct(F.lit(0.0).alias("knot"), F.col("w0").cast("double").alias("weight")), F.struct(F.lit(1.0).alias("knot"), F.col("w1").cast("double").alias("weight")))))
+    root = F.floor(F.sqrt(F.col("supply").cast("double"))).cast("double")
+    ends = F.array(F.struct(F.lit(0.0).alias("knot"), F.col("supply").cast("double").alias("weight")), F.struct(F.lit(1.0).alias("knot"), root.alias("weight")))
+    return supply.select("source", F.inline(ends))
 
 
 def demand(schedule: DataFrame) -> DataFrame:
@@ -55,25 +54,23 @@ def demand(schedule: DataFrame) -> DataFrame:
     return piece.withColumn("upto", upto).withColumn("before", F.col("upto") - area).select("source", "t0", "t1", "a", "b", "before", "upto")
 
 
-def positioned(docs: DataFrame, schedule: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
-    """(row, source, n_tokens, epoch, position): all columns of `docs` in the struct `row`, once for each use in training.
-
-    `position` in [0, 1] is when the document's first token is due. A null source is a source of its own. Documents without
-    tokens, or null texts, are not used. Repeated rows are used as often as they occur. Documents equal in hash are
-    ordered by doc_id (nulls first) and a hash of the text.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("doc"), F.explode(F.array(tokens(F.col("text")))).alias("n_tokens"))
-    rows = rows.where("n_tokens > 0").withColumn("turn", shuffled(F.col("doc"))).withColumn("range", F.floor(F.col("turn") / F.lit((1 << 32) // RANGES)))
-    sums = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.floor(shuffled(F.col("doc_id")) / F.lit((1 << 32) // RANGES)).alias("range"), tokens(F.col("text")).alias("n"))
-    sums = stage(sums.groupBy("source", "range").agg(F.sum("n").alias("n")), "sums")
-    start = sums.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy("source")).alias("supply")).where("n > 0")
-    supply = sums.groupBy("source").agg(F.sum("n").alias("supply")).where("supply > 0")
+def uses(docs: DataFrame, schedule: DataFrame | None = None, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """(ids, used): the documents that have tokens without their texts, as a written table (see `_identity`), and for each use in
+    training (key, size, copy, n_tokens, epoch, position)."""
+    ids = docs.select(*_identity(docs), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tie"), tokens(F.col("text")).alias("n_tokens"))
+    ids = stage(ids.where(F.col("size") > 0), "ids")
+    spans = 1 << max(6, (ids.count() // RANGE_ROWS).bit_length())
+    rows = ids.where("n_tokens > 0").withColumn("turn", shuffled(F.col("doc"))).withColumn("range", F.floor(F.col("turn") / F.lit((1 << 32) / spans)))
+    sums = stage(rows.groupBy("source", "range").agg(F.sum("n_tokens").alias("n")), "sums")
+    start = sums.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy("source")).alias("supply"))
+    supply = sums.groupBy("source").agg(F.sum("n").alias("supply"))
     pieces = demand(default_schedule(supply) if schedule is None else schedule.withColumn("source", F.coalesce("source", F.lit(""))))
     total = supply.agg(F.sum("supply").alias("total"))
     plan = pieces.crossJoin(total).groupBy("source").agg(F.max("total").alias("total"), F.max("upto").alias("share"), F.sort_array(F.collect_list(F.struct("upto", "t0", "t1", "a", "b", "before"))).alias("pieces"))
     info = start.join(plan, "source").select("source", "range", "start", "supply", "share", "pieces", (F.col("total") * F.lit(float(budget))).alias("budget"))
     order = Window.partitionBy("source", "range").orderBy("turn", F.col("doc").asc_nulls_first(), "tie")
-    ranked = rows.withColumn("tie", F.xxhash64("row.text")).withColumn("local", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    ranked = rows.withColumn("local", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    ranked = ranked.withColumn("copy", F.row_number().over(Window.partitionBy("source", "range", "key", "size").orderBy("local")))
     ranked = ranked.join(info, ["source", "range"]).withColumn("first", F.col("start") + F.col("local"))
     need = F.col("share") * F.col("budget")
     ranked = ranked.where(F.col("first") < need).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil((need - F.col("first")) / F.col("supply")) - 1))))
@@ -83,16 +80,43 @@ def positioned(docs: DataFrame, schedule: DataFrame | None = None, budget: float
     gap = F.col("due") - F.col("p.before")
     inside = F.sqrt(F.greatest(F.col("p.a") * F.col("p.a") + F.lit(4.0) * F.col("p.b") * gap, F.lit(0.0)))
     position = F.col("p.t0") + F.when(gap <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * gap / (F.col("p.a") + inside))
-    return used.select("row", F.col("row.source").alias("source"), "n_tokens", "epoch", F.least(position, F.lit(1.0)).alias("position"))
+    return ids, used.select("key", "size", "copy", "n_tokens", "epoch", F.least(position, F.lit(1.0)).alias("position"))
+
+
+def _identity(docs: DataFrame) -> list[Column]:
+    """What a row is found again by: a hash of doc_id, source and text, and the text's length. Rows that agree in them are numbered."""
+    return [F.xxhash64("doc_id", F.coalesce("source", F.lit("")), "text").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")]
+
+
+def positioned(docs: DataFrame, schedule: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
+    """(row, source, n_tokens, epoch, position): all columns of `docs` in the struct `row`, once for each use in training, sorted
+    by position, doc_id (nulls first) and a hash of the row.
+
+    `position` in [0, 1] is when the document's first token is due. A null source is a source of its own. Documents without
+    tokens, or null texts, are not used. Repeated rows are used as often as they occur. Documents equal in hash are
+    ordered by doc_id (nulls first) and a hash of the text. Texts of any length count whole. An empty table, or a schedule
+    without any of the sources, gives an empty table.
+
+    Only identities are ranked; texts are shuffled once to meet their positions, and once to be sorted. Demand makes positions
+    even in tokens, so that ranges of equal width hold about as much text and need no sample.
+    """
+    ids, used = uses(docs, schedule, budget)
+    total = ids.agg(F.sum("size")).first()[0] or 0
+    parts = min(MOST_PARTS, max(docs.sparkSession.sparkContext.defaultParallelism, int(total * budget) // PART_BYTES + 1))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_identity(docs)).where("size > 0").repartition("key", "size")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key", "size").orderBy(F.lit(0))))
+    both = rows.join(used.repartition("key", "size").hint("merge"), ["key", "size", "copy"])
+    out = both.select("row", "n_tokens", "epoch", "position", "key").repartitionById(parts, F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int"))
+    out = out.sortWithinPartitions("position", F.col("row.doc_id").asc_nulls_first(), "key", "epoch")
+    return out.select("row", F.col("row.source").alias("source"), "n_tokens", "epoch", "position")
 
 
 def mix_sources(docs: DataFrame, schedule: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
     """`docs` as often as training uses them, range-sorted by position; columns stay as they are, also of clashing names."""
-    rows = positioned(docs, schedule, budget)
-    return rows.select("row", F.round("position", 9).alias("position"), F.col("row.doc_id").alias("doc")).orderBy("position", "doc").select("row.*")
+    return positioned(docs, schedule, budget).select("row.*")
 
 
 def op4_curriculum(spark, sf_dir: str) -> DataFrame:
-    """Documents in training order, with their positions under the default schedule."""
+    """Documents in training order, with their positions (to nine digits) under the default schedule."""
     rows = positioned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("row.doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), F.round("position", 9).alias("position"), "row.text").orderBy("position", "doc_id")
+    return rows.select("row.doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), F.round("position", 9).alias("position"), "row.text")

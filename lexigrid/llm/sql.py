@@ -9,9 +9,7 @@ WITH d AS (
 s AS (SELECT src, sum(n)::BIGINT AS supply FROM d GROUP BY src HAVING sum(n) > 0),
 r AS (SELECT src, supply, floor(sqrt(supply::DOUBLE))::BIGINT AS root FROM s),
 w AS (
-  SELECT src, supply, sum(supply) OVER ()::BIGINT AS total,
-         floor(1000000 * supply / sum(supply) OVER ()::BIGINT)::DOUBLE AS w0,
-         floor(1000000 * root / sum(root) OVER ()::BIGINT)::DOUBLE AS w1
+  SELECT src, supply, sum(supply) OVER ()::BIGINT AS total, supply::DOUBLE AS w0, root::DOUBLE AS w1
   FROM r),
 p AS (SELECT src, supply, total::DOUBLE AS budget, w0 / sum(w0) OVER () AS a, w1 / sum(w1) OVER () AS nxt FROM w),
 q AS (SELECT *, (nxt - a) / 2.0::DOUBLE AS b, (a + nxt) / 2.0::DOUBLE AS share FROM p),
