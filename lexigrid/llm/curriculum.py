@@ -19,7 +19,7 @@ BUDGET = 1.0
 #: Documents of a hash range, about, by which a source's running sum is split, so that no task has a whole source.
 RANGE_ROWS = 100_000
 #: Bytes of text of a range of positions, about, which a task sorts, and the most such ranges.
-PART_BYTES, MOST_PARTS = 64 << 20, 50_000
+PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -105,7 +105,8 @@ def positioned(docs: DataFrame, schedule: DataFrame | None = None, budget: float
     parts = min(MOST_PARTS, max(docs.sparkSession.sparkContext.defaultParallelism, int(total * budget) // PART_BYTES + 1))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_identity(docs)).where("size > 0").repartition("key", "size")
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key", "size").orderBy(F.lit(0))))
-    both = rows.join(used.repartition("key", "size").hint("merge"), ["key", "size", "copy"])
+    # The number of the copy is no key of the join, which would shuffle texts once more: it says which of equal rows meet.
+    both = rows.join(used.withColumnRenamed("copy", "its").repartition("key", "size").hint("merge"), ["key", "size"]).where((F.col("copy") - F.col("its")) == 0)
     out = both.select("row", "n_tokens", "epoch", "position", "key").repartitionById(parts, F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int"))
     out = out.sortWithinPartitions("position", F.col("row.doc_id").asc_nulls_first(), "key", "epoch")
     return out.select("row", F.col("row.source").alias("source"), "n_tokens", "epoch", "position")
