@@ -208,9 +208,10 @@ def cleaned(docs: DataFrame, units: type = Chunks, copies: bool = True) -> DataF
     without = without.asNondeterministic()  # so that it is evaluated once, though a filter looks at its result
     rows, gone = repeated(docs, units, copies)
     both = rows.join(gone, (F.col("id") == F.col("gone_id")) & F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
-    whole = both.where(F.col("gone").isNull()).select("row", F.col("row.text").alias("clean"), F.lit(0).alias("gone"))
-    cut = both.where(F.col("gone").isNotNull()).select("row", without("row.text", "gone").alias("out")).select("row", "out.clean", "out.gone")
-    return whole.union(cut)
+    # Texts that stay as they are pass by Python.
+    some = F.col("gone").isNotNull()
+    out = both.select("row", some.alias("some"), without(F.when(some, F.col("row.text")), "gone").alias("out"))
+    return out.select("row", F.when(F.col("some"), F.col("out.clean")).otherwise(F.col("row.text")).alias("clean"), F.when(F.col("some"), F.col("out.gone")).otherwise(F.lit(0)).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, copies: bool = True) -> DataFrame:
