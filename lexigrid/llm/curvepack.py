@@ -25,7 +25,7 @@ DIMS, DEPTH = 4, 12
 #: Tokens of a sequence.
 LENGTH = 2048
 #: Bytes of text that a task sorts, about, the most such tasks, and documents sampled for each to find where its range ends.
-PART_BYTES, MOST_PARTS, SAMPLES = 64 << 20, 50_000, 20
+PART_BYTES, MOST_PARTS, SAMPLES = 16 << 20, 50_000, 50
 
 
 def hilbert(points: np.ndarray, depth: int = DEPTH) -> np.ndarray:
