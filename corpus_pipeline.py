@@ -45,7 +45,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("packing", packing)]
 
-#: SQL can express neither the fitted rules nor the signatures; a test holds the rows of each stage against a plain version.
+#: SQL can express neither the fitted rules nor the signatures; tests hold the operators against plain
+#: versions, and run the stages on edge cases.
 ORACLE_SQL = None
 
 
