@@ -106,11 +106,10 @@ def _fetch(batches: Iterator[pa.RecordBatch], units: type) -> Iterator[pa.Record
             part = batch.slice(lo, hi - lo)
             chunks = units(part.column(2))
             at = _places(chunks, part.column(3))
-            size = chunks.body[at] - chunks.start[at]
-            data = chunks.raw[np.repeat(chunks.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+            whole = memoryview(np.ascontiguousarray(chunks.raw))
+            content = pa.array([whole[a:b] for a, b in zip(chunks.start[at].tolist(), chunks.body[at].tolist())], pa.binary())
             row = pa.array(chunks.row[at])
-            yield pa.record_batch([part.column(0).take(row), part.column(1).take(row), pa.array(chunks.index[at].astype(np.int32)), pa.array(chunks.hash[at].view(np.int64)), content.cast(pa.binary())], names=["id", "doc", "index", "hash", "bytes"])
+            yield pa.record_batch([part.column(0).take(row), part.column(1).take(row), pa.array(chunks.index[at].astype(np.int32)), pa.array(chunks.hash[at].view(np.int64)), content], names=["id", "doc", "index", "hash", "bytes"])
 
 
 def _places(chunks: Runs | Chunks, lists: pa.Array) -> np.ndarray:
@@ -121,22 +120,21 @@ def _places(chunks: Runs | Chunks, lists: pa.Array) -> np.ndarray:
 
 
 def removed(texts: pa.Array, lists: pa.Array, units: type) -> pa.Array:
-    """Texts without the units of the given indexes (`clean`), and the number of unbroken stretches that went (`gone`)."""
+    """Texts without the units of the given indexes, which ascend in each list (`clean`), and the number of unbroken stretches that went (`gone`)."""
     out = []
     for lo, hi in slices(texts):
         chunks = units(texts.slice(lo, hi - lo))
         at = _places(chunks, lists.slice(lo, hi - lo))
-        depth = np.zeros(len(chunks.raw) + 1, np.int64)
-        np.add.at(depth, chunks.start[at], 1)
-        np.add.at(depth, chunks.end[at], -1)
-        keep = np.cumsum(depth)[:-1] == 0
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        size = kept[chunks.offsets]
-        begins = ~keep
-        begins[1:] &= keep[:-1]
-        edges = chunks.offsets[:-1][chunks.offsets[:-1] < len(keep)]
-        begins[edges] = ~keep[edges]
-        gone = np.diff(np.concatenate([[0], np.cumsum(begins)])[chunks.offsets])
+        row, start, end = chunks.row[at], chunks.start[at], np.maximum.accumulate(chunks.end[at])
+        new = np.ones(len(at), bool)  # the others go on in the stretch before them
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+        row, start, end = row[new], start[new], end[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else end
+        step = np.zeros(len(chunks.raw) + 1, np.int8)
+        step[start] += 1
+        step[end] -= 1
+        keep = np.cumsum(step[:-1], dtype=np.int8) == 0
+        size = chunks.offsets - np.concatenate([[0], np.cumsum(end - start)])[np.searchsorted(end, chunks.offsets, side="right")]
+        gone = np.bincount(row, minlength=hi - lo)
         clean = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(chunks.raw[keep])))
         out.append(pa.StructArray.from_arrays([clean.cast(pa.string()), pa.array(gone.astype(np.int32))], names=["clean", "gone"]))
     return pa.concat_arrays(out) if out else pa.array([], pa.struct([("clean", pa.string()), ("gone", pa.int32())]))

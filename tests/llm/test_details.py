@@ -3,6 +3,7 @@
 import io
 import itertools
 import struct
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.llm import curriculum, licenses, linechunks, media, neardup, prefixhash, quality, scratch, tokenbin, toxicity
+from lexigrid.llm import curriculum, licenses, linechunks, media, neardup, prefixhash, quality, scratch, text, tokenbin, toxicity
 from lexigrid.llm.text import Words
 
 
@@ -174,3 +175,57 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         scratch.folder(session)
+
+
+def _peak(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    lines = [" ".join(words[rng.integers(0, 5000, 12)]) for _ in range(60)]
+    many = pa.array(["\n".join(rng.permutation(lines)) for _ in range(3000)])  # 12 MB
+    long = pa.array(["\n".join(many.to_pylist())])
+    for texts, most in ((many, 60e6), (long, 16 * long.nbytes)):
+        ids = pa.array(np.arange(len(texts)))
+        lists = pa.array([[0, 1, 7]] * len(texts), pa.list_(pa.int32()))
+        batch = pa.record_batch([ids, ids, texts, lists], names=["id", "doc", "text", "wanted"])
+        for f in (linechunks._spot, linechunks._fetch):
+            assert _peak(lambda: [x.num_rows for x in f(iter([batch]), linechunks.Runs)]) < most  # noqa: B023
+        assert _peak(lambda: linechunks.removed(texts, lists, linechunks.Runs)) < most  # noqa: B023
+    ids = pa.array(np.arange(len(many)))
+    batch = pa.record_batch([ids, many, ids], names=["node", "text", "check"])
+    assert _peak(lambda: [x.num_rows for x in neardup._sign(iter([batch]))]) < 60e6
+
+
+def test_spans_have_one_hash_across_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    raw = rng.integers(0, 256, 1000).astype(np.uint8)
+    begin = rng.integers(0, 1001, 400)
+    end = rng.integers(begin, 1001)
+    whole = text.span_hashes(raw, begin, end)
+    for block in (1, 64, 1000):
+        monkeypatch.setattr(text, "BLOCK", block)
+        assert (text.span_hashes(raw, begin, end) == whole).all()
+        alone = [text.span_hashes(raw[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(begin, end)]
+        assert (np.array(alone) == whole).all()
+
+
+def test_stretches_are_those_of_bytes_taken_one_by_one():
+    rng = np.random.default_rng(5)
+    texts = ["", None, "one line", "a b\n", *("\n".join(rng.choice(["x y", "", "z", "w " * 60, "ж"], n)) + "\n" * (n % 2) for n in range(1, 40))]
+    array = pa.array(texts)
+    count = np.bincount(linechunks.Runs(array).row, minlength=len(texts))
+    lists = [sorted(rng.choice(c, rng.integers(0, c + 1), replace=False).tolist()) if c else None for c in count]
+    got = linechunks.removed(array, pa.array(lists, pa.list_(pa.int32())), linechunks.Runs).to_pylist()
+    for t, chosen, row in zip(texts, lists, got):
+        runs, data = linechunks.Runs(pa.array([t])), (t or "").encode()
+        off = {p for i in chosen or [] for p in range(runs.start[i], runs.end[i])}
+        assert row["clean"].encode() == bytes(b for p, b in enumerate(data) if p not in off)
+        assert row["gone"] == sum(p - 1 not in off for p in off)
