@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lexigrid.operators.match import search
-from lexigrid.operators.tokens import tokens
-from lexigrid.sources.words import words
+from lexigrid.operators.texts import search
 
 
 def search_stream(documents: DataFrame, queries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes hits of a stream (doc_id, text) to Parquet below `path`, a folder for each batch, which a repeated batch replaces."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = tokens(words(rows)).persist()
-        try:
-            search(found, queries).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        finally:
-            found.unpersist()
+        search(rows, queries).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
