@@ -14,6 +14,8 @@ from .text import L, PATRONYMIC, SURNAME, fold_dashes, is_upper, let, split_word
 
 #: Two-letter upper-case words that are names and no pairs of initials in a query.
 SHORT_NAMES = "АН ДО ЗА ИЗ КЮ ЛИ НА НЕ НИ ОТ ПО УК ЯН".split()
+#: So many values at most are looked at to choose the ranges in which terms are numbered.
+EDGES = 10_000
 PARTS = ("surname", "name_initial", "name_full", "patronymic_initial", "patronymic_full")
 
 
@@ -83,12 +85,40 @@ def terms(table: DataFrame, term: str = "term", order: str = "term_ord", comma:
     """
     rows = table.where(F.col(term).isNotNull()).select(F.col(order).alias("at"), F.posexplode(F.split(term, ",") if comma else F.array(term)).alias("k", "part"))
     rows = rows.select("at", "k", strip(F.col("part")).alias("term")).where("term <> ''")
-    turn = F.row_number().over(Window.orderBy("at", "k")) - 1 if comma else F.col("at")  # a list of queries, which one task can number
-    rows = rows.select(turn.cast("int").alias("term_ord"), "term")
+    rows = _turns(rows, table.select(F.col(order).alias("at"))) if comma else rows.withColumn("turn", F.col("at"))
+    rows = rows.select(F.col("turn").cast("int").alias("term_ord"), "term")
     # A generator keeps filters on the parts above the parsing, which is then done once.
     return rows.select("term_ord", "term", F.explode(F.array(parse(F.col("term")))).alias("q")).select("term_ord", "term", "q.*")
 
 
+def _further(part: Column, edges: Column, step: int) -> Column:
+    """A step of a binary search: `part`, or the part `step` further if that begins before `at`; an edge of null is after all."""
+    return let(part, lambda p: F.when(F.get(edges, p + (step - 1)) <= F.col("at"), p + step).otherwise(p))
+
+
+def _turns(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """`rows` with `turn`, their number in the order of (at, k), counted by ranges of `at` and not in one task. The ranges' edges are
+    some of its values, and decide only which task numbers what; null comes first."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth = max(1, (4 * parts - 1).bit_length())
+    some = [r.at for r in order.where("at is not null").distinct().orderBy(F.xxhash64("at")).limit(EDGES).orderBy("at").collect()]
+    if not some:
+        return rows.withColumn("turn", F.row_number().over(Window.orderBy("k")) - 1)
+    count = (1 << depth) - 1
+    edges = F.array(*[F.lit(some[len(some) * k // (count + 1)]) for k in range(1, count + 1)])
+    part = F.lit(0)
+    for k in reversed(range(depth)):
+        part = _further(part, edges, 1 << k)
+    rows = rows.withColumn("part", part)
+    sizes, before, offsets = {r.part: r["count"] for r in rows.groupBy("part").count().collect()}, 0, []
+    for k in range(count + 1):
+        offsets.append(before)
+        before += sizes.get(k, 0)
+    # A given number isn't coalesced by bytes: parsing, which follows, takes long for few bytes.
+    turn = F.row_number().over(Window.partitionBy("part").orderBy("at", "k")) - 1 + F.get(F.lit(offsets), F.col("part"))
+    return rows.repartition(parts, "part").withColumn("turn", turn)
+
+
 def split_terms(text: str | list[str]) -> list[str]:
     """Terms of a comma-separated string, or of a list; blank ones go."""
     return [t.strip() for t in (text.split(",") if isinstance(text, str) else text) if t.strip()]
